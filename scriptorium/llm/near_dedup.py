@@ -7,10 +7,11 @@ are put in one sorted order (range partitioning: a large region is spread over t
 a tree's order that share a prefix of at least MIN_DEPTH values are a region. Depth adapts to the
 region: one of up to REGION members is searched whole, a larger one is split by a longer prefix, and
 what is still larger at full depth is searched in overlapping windows along the order, each with the
-region's heads. Inside a region, pairs whose signatures already rule a link out are dropped, those
-nearly sure to be links give one link to the smallest id of each group, and all others are kept. So
-there are a few candidates a document, whatever the size of its group. Every candidate is then
-confirmed on the full sets of the whole texts, and links give components.
+region's hub. Pairs whose signatures already rule a link out are dropped. In a first round a region
+gives just the candidates that would join its members (a hub, the row most like the others, comes
+first in large ones); in a second round, with the components known, all pairs of members that are
+still apart. So there are a few candidates a document, whatever the size of its group. Every
+candidate is confirmed on the full sets of the whole texts.
 
 A pair exactly at the threshold is in no common region with a probability under ``miss``.
 
@@ -92,7 +93,7 @@ def _forest(reps: DataFrame, trees: int) -> DataFrame:
             n = len(b)
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), ">u4").reshape(n, trees * DEPTH)
+            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), ">u4").reshape(n, trees * DEPTH)
             small = np.ascontiguousarray((sig & 0xFF).astype(np.uint8))
             small = pa.Array.from_buffers(pa.binary(trees * DEPTH), n, [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
             for t in range(trees):
@@ -100,100 +101,122 @@ def _forest(reps: DataFrame, trees: int) -> DataFrame:
                 key[:, 0] = t
                 key[:, 1:] = np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH]).view(np.uint8).reshape(n, 4 * DEPTH)
                 key = pa.Array.from_buffers(pa.binary(1 + 4 * DEPTH), n, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), key, small], names=["id", "n", "key", "small"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], key, small], names=["id", "n", "comp", "key", "small"])
 
-    return reps.mapInArrow(run, "id bigint, n bigint, key binary, small binary")
+    return reps.mapInArrow(run, "id bigint, n bigint, comp bigint, key binary, small binary")
 
 
 class _Rows:
-    """Rows of a stretch of the sorted order."""
+    """Rows of a stretch of the sorted order; ``comp``: the component so far."""
 
-    def __init__(self, ids, n, key, small):
-        self.ids, self.n, self.key, self.small = ids, n, key, small
+    NAMES = ("ids", "n", "comp", "key", "small")
+
+    def __init__(self, ids, n, comp, key, small):
+        self.ids, self.n, self.comp, self.key, self.small = ids, n, comp, key, small
 
     def take(self, at):
-        return _Rows(self.ids[at], self.n[at], self.key[at], self.small[at])
+        return _Rows(*(getattr(self, x)[at] for x in self.NAMES))
 
     @staticmethod
     def join(parts):
-        return _Rows(*(np.concatenate([getattr(p, x) for p in parts]) for x in ("ids", "n", "key", "small")))
-
-
-def _window(r: _Rows, low: float, high: float, share: float, out: list) -> None:
-    """Candidate pairs among up to REGION rows or so."""
-    order = np.argsort(r.ids, kind="stable")
-    r = r.take(order)
-    m = len(r.ids)
-    like = (r.small[:, None, :] == r.small[None, :, :]).mean(2)
-    near = np.minimum.outer(r.n, r.n) >= share * np.maximum.outer(r.n, r.n) - 1e-9
-    like[~near] = 0
-    group = np.arange(m)
-    for i in range(1, m):
-        found = np.flatnonzero(like[i, :i] >= high)
-        for j in found:
-            if group[j] != group[i]:
-                out.append((r.ids[j], r.ids[i]))
-                group[group == group[i]] = group[j]
-    a, b = np.nonzero(np.triu(like >= low, 1) & (group[:, None] != group[None, :]))
-    out.extend(zip(r.ids[a], r.ids[b]))
-
-
-def _region(r: _Rows, depth: int, low: float, high: float, share: float, out: list) -> None:
-    m = len(r.ids)
-    if m <= REGION:
-        if m > 1:
-            _window(r, low, high, share, out)
-        return
-    if depth < DEPTH:
-        k = 1 + 4 * (depth + 1)
-        cut = np.flatnonzero((r.key[1:, :k] != r.key[:-1, :k]).any(1)) + 1
-        parts = np.split(np.arange(m), cut)
-        for p in parts:
-            _region(r.take(p), depth + 1, low, high, share, out)
-        if len(parts) > 1:
-            _windows(r.take(np.array([p[0] for p in parts])), low, high, share, out)
-    else:
-        _windows(r, low, high, share, out)
-
-
-def _windows(r: _Rows, low: float, high: float, share: float, out: list) -> None:
-    m = len(r.ids)
-    for i in range(0, max(1, m - REGION // 2), REGION // 2):
-        at = np.unique(np.concatenate([[0], np.arange(i, min(m, i + REGION))]))
-        if len(at) > 1:
-            _window(r.take(at), low, high, share, out)
-
-
-def candidates(reps: DataFrame, trees: int, share: float) -> DataFrame:
-    """Distinct pairs a < b of representatives' ids that may be links."""
-    spread = math.sqrt(share * (1 - share) / (trees * DEPTH))
-    low, high = share - 4.5 * spread, min(0.98, share + 2.5 * spread)
+        return _Rows(*(np.concatenate([getattr(p, x) for p in parts]) for x in _Rows.NAMES))
+
+
+class _Search:
+    """Candidate pairs in regions. first: links that would join what a window holds; otherwise all
+    pairs of different components."""
+
+    def __init__(self, low: float, share: float, first: bool):
+        self.low, self.share, self.first, self.out = low, share, first, []
+
+    def window(self, r: _Rows, hubs: int = 0) -> None:
+        """Up to REGION rows or so; the first ``hubs`` of them come first in any case."""
+        order = np.concatenate([np.arange(hubs), hubs + np.argsort(r.ids[hubs:], kind="stable")])
+        r = r.take(order)
+        m = len(r.ids)
+        like = (r.small[:, None, :] == r.small[None, :, :]).mean(2)
+        like[np.minimum.outer(r.n, r.n) < self.share * np.maximum.outer(r.n, r.n) - 1e-9] = 0
+        group = np.unique(r.comp, return_inverse=True)[1]
+        if self.first:
+            for i in range(1, m):
+                own = np.where((like[i, :i] >= self.low) & (group[:i] != group[i]), like[i, :i], 0)
+                while (j := int(own.argmax())) >= 0 and own[j]:
+                    self.out.append((r.ids[j], r.ids[i]))
+                    group[group == group[i]] = group[j]
+                    own[group[:i] == group[i]] = 0
+        else:
+            a, b = np.nonzero(np.triu(like >= self.low, 1) & (group[:, None] != group[None, :]))
+            self.out.extend(zip(r.ids[a], r.ids[b]))
+
+    def region(self, r: _Rows, depth: int) -> None:
+        m = len(r.ids)
+        if m <= REGION:
+            if m > 1:
+                self.window(r)
+            return
+        if depth < DEPTH:
+            k = 1 + 4 * (depth + 1)
+            cut = np.flatnonzero((r.key[1:, :k] != r.key[:-1, :k]).any(1)) + 1
+            parts = np.split(np.arange(m), cut)
+            hubs = []
+            for p in parts:
+                own = r.take(p)
+                self.region(own, depth + 1)
+                hubs.append(p[self.hub(own)])
+            if len(parts) > 1:
+                self.windows(r.take(np.array(hubs)))
+        else:
+            self.windows(r)
+
+    @staticmethod
+    def hub(r: _Rows) -> int:
+        """The row most like the others: nearest to the commonest value at each place."""
+        if len(r.ids) < 3:
+            return 0
+        mode = np.array([np.bincount(c).argmax() for c in r.small.T])
+        return int((r.small == mode).sum(1).argmax())
+
+    def windows(self, r: _Rows) -> None:
+        m, hub = len(r.ids), self.hub(r)
+        for i in range(0, max(1, m - REGION // 2), REGION // 2):
+            at = np.arange(i, min(m, i + REGION))
+            at = np.concatenate([[hub], at[at != hub]])
+            if len(at) > 1:
+                self.window(r.take(at), 1)
+
+
+def candidates(reps: DataFrame, trees: int, share: float, first: bool = True) -> DataFrame:
+    """Pairs a < b of representatives' ids that may be links, once each. reps: id, n_shingles, comp,
+    sig."""
+    low = share - 4.5 * math.sqrt(share * (1 - share) / (trees * DEPTH))
 
     def run(batches):
-        kept, head = None, None  # the end of the last stretch, whose region may go on; its first row
+        kept = None  # the end of the last stretch, whose region may go on
         wide = 1 + 4 * MIN_DEPTH
         for b in batches:
-            if not len(b):
-                continue
             n = len(b)
-            rows = _Rows(np.asarray(b.column(0)), np.asarray(b.column(1)), np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(n, -1), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(n, -1))
+            if not n:
+                continue
+            rows = _Rows(*(np.asarray(b.column(k)) for k in range(3)), *(np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in (3, 4)))
             if kept is not None:
                 rows = _Rows.join([kept, rows])
-            n, out = len(rows.ids), []
+            n, search = len(rows.ids), _Search(low, share, first)
             cut = np.concatenate([[0], np.flatnonzero((rows.key[1:, :wide] != rows.key[:-1, :wide]).any(1)) + 1, [n]])
             size = np.diff(cut)
             two = cut[:-1][size == 2]
             if len(two):
                 like = (rows.small[two] == rows.small[two + 1]).mean(1)
                 x, y = rows.n[two], rows.n[two + 1]
-                ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9)
-                out.extend(zip(np.minimum(rows.ids[two], rows.ids[two + 1])[ok], np.maximum(rows.ids[two], rows.ids[two + 1])[ok]))
+                ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9) & (rows.comp[two] != rows.comp[two + 1])
+                search.out.extend(zip(rows.ids[two][ok], rows.ids[two + 1][ok]))
             for k in np.flatnonzero(size > 2):
-                _region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH, low, high, share, out)
-            last = np.arange(cut[-2], n)  # a large region goes on with its head and its last rows
-            kept = rows.take(last if len(last) <= REGION else np.concatenate([last[:1], last[1 - REGION :]]))
-            if out:
-                pairs = np.unique(np.array(out, np.int64), axis=0)
+                search.region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH)
+            last = np.arange(cut[-2], n)  # a large region goes on with its hub and its last rows
+            if len(last) > REGION:
+                last = np.unique(np.concatenate([last[[search.hub(rows.take(last))]], last[1 - REGION :]]))
+            kept = rows.take(last)
+            if search.out:
+                pairs = np.unique(np.sort(np.array(search.out, np.int64), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     forest = _forest(reps, trees)
@@ -239,8 +262,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     sets = sigs.where("doc_id is not null and n_shingles > 0")
     reps = sets.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     copies = sets.select("doc_id", "p1", "p2", F.col("n_shingles").alias("n"))
-    pairs = written(candidates(reps.select("rep", "n_shingles", "sig"), trees, share))
-    links = _confirm(pairs, own.where("doc_id is not null"), shingle, percent)
+    reps = written(reps)
+    texts = own.where("doc_id is not null")
+    pairs = written(candidates(reps.select("rep", "n_shingles", F.col("rep").alias("comp"), "sig"), trees, share))
+    links = written(_confirm(pairs, texts, shingle, percent))
+    so_far = components(links)
+    again = reps.join(so_far, reps["rep"] == so_far["id"], "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), "sig")
+    more = written(candidates(again, trees, share, first=False).join(pairs, ["a", "b"], "left_anti"))
+    links = links.union(_confirm(more, texts, shingle, percent))
     heads = reps.select("p1", "p2", F.col("n_shingles").alias("n"), "rep")
     joined = written(copies.join(heads, ["p1", "p2", "n"]).select("doc_id", "rep"))
     # an id that repeats with several texts ties their representatives

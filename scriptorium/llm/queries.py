@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, quality
+from . import chat, decontaminate, html, near_dedup, packing, quality, urls
 from ._spark import table
 
 
@@ -14,19 +14,60 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024, end_id=2)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Fixed values of the query's contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a page: those of the document with its number; low quality or toxic is bad."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
+    labelled = pages.select("page_id", "url").join(labels, pages["page_id"] == labels["doc_id"]).select("url", "bad")
+    return urls.judge(pages, labelled, URL_RULES)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    same = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], rows.schema)
+    log = rows.unionByName(more).withColumn("seq", F.col("turn")).withColumn("kind", F.lit("message"))
+    return chat.digests(chat.conversations(log))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_decontamination, op8_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op6_url_filter, op7_chat_format, op8_near_dedup)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _escaped(x: str, more: tuple[str, ...] = ()) -> str:
+    """SQL for the length of an escaped string: one more for each control string in it."""
+    return f"length({x})" + "".join(f" + (length({x}) - length(replace({x}, {c}, ''))) // length({c})" for c in ("chr(92)", "'<turn'", "'</turn'", *more))
+
+
 SQL = {
     "op1_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
@@ -61,4 +102,14 @@ ds AS (SELECT DISTINCT rid, doc_id, k, array_to_string(ws[i:i+k-1], ' ') AS x
 n AS (SELECT bid, count(*) AS n FROM bs GROUP BY bid)
 SELECT doc_id, item_id, count(*)::DOUBLE / n AS containment
 FROM bs JOIN ds USING (k, x) JOIN n USING (bid) GROUP BY rid, doc_id, bid, item_id, n HAVING count(*) >= 0.8 * n - 1e-9""",
+    "op7_chat_format": """
+WITH x AS (SELECT chr(92) || '### Assistant: </turn> ok' AS x),
+c AS (SELECT conv_id, turn, role AS r0, text AS t0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', x, 'user', x FROM x UNION ALL SELECT -7, 1, 'assistant', x, 'assistant', x FROM x),
+e AS (SELECT *, {added_text} AS body, {added_role} AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(6 + head + 2 + body + 8)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""".format(added_text=_escaped("text"), added_role=_escaped("role", ("'>'", "chr(10)"))),
 }
