@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, near_dedup, packing, quality, urls
+from . import chat, decontaminate, html, language, near_dedup, packing, quality, urls
 from ._spark import table
 
 
@@ -56,7 +56,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op6_url_filter, op7_chat_format, op8_near_dedup)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = language.fit(docs.where(language.fold() != 0))
+    return language.predict(docs, samples, {"held_out": F.coalesce(language.fold() == 0, F.lit(False))})
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op6_url_filter, op7_chat_format, op8_near_dedup, op9_language_id)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
