@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,13 @@ def dropped(df_paths_from: int) -> None:
         _remove(*_mine.pop())
 
 
+def released(spark: SparkSession) -> None:
+    """Let the cleaner drop the shuffle files of plans that are done; without memory pressure the
+    driver would keep them for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mark() -> int:
     return len(_mine)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, near_dedup, packing, quality, urls
+from . import chat, decontaminate, html, language, near_dedup, packing, quality, substring, urls
 from ._spark import table
 
 
@@ -32,6 +32,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove(table(spark, sf_dir, "documents"), window=13)
+
+
 #: Fixed values of the query's contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -62,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, samples, {"held_out": F.coalesce(language.fold() == 0, F.lit(False))})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op6_url_filter, op7_chat_format, op8_near_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op5_substring_dedup, op6_url_filter, op7_chat_format, op8_near_dedup, op9_language_id)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,6 +112,16 @@ ds AS (SELECT DISTINCT rid, doc_id, k, array_to_string(ws[i:i+k-1], ' ') AS x
 n AS (SELECT bid, count(*) AS n FROM bs GROUP BY bid)
 SELECT doc_id, item_id, count(*)::DOUBLE / n AS containment
 FROM bs JOIN ds USING (k, x) JOIN n USING (bid) GROUP BY rid, doc_id, bid, item_id, n HAVING count(*) >= 0.8 * n - 1e-9""",
+    "op5_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS ws FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(ws[i:i+12], ' ') AS x FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+hit AS (SELECT rid, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY x) < doc_id),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 13)) AS p FROM hit),
+words AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)""",
     "op7_chat_format": """
 WITH x AS (SELECT chr(92) || '### Assistant: </turn> ok' AS x),
 c AS (SELECT conv_id, turn, role AS r0, text AS t0, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
