@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html, language, near_dedup, packing, quality, substring, urls
+from . import chat, ctw, decontaminate, html, language, near_dedup, packing, quality, substring, urls
 from ._spark import table
 
 
@@ -66,7 +66,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, samples, {"held_out": F.coalesce(language.fold() == 0, F.lit(False))})
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op5_substring_dedup, op6_url_filter, op7_chat_format, op8_near_dedup, op9_language_id)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(language.fold() == 1, F.lit(False))
+    out = ctw.score(table(spark, sf_dir, "documents"), ~held_out, {"held_out": held_out})
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_html_extraction, op4_decontamination, op5_substring_dedup, op6_url_filter, op7_chat_format, op8_near_dedup, op9_language_id, op10_lm_score)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
