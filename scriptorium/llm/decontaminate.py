@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import written
 from ._words import Words, blocks
 
 SHINGLE = 5
@@ -119,5 +120,5 @@ def search(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int =
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without those that hold a test item."""
-    leaks = search(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
+    leaks = written(search(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct())
     return docs.join(leaks, docs[options.get("id_col", "doc_id")] == leaks["_leak"], "left_anti")

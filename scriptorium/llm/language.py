@@ -172,8 +172,8 @@ def fit(labelled: DataFrame, rows: int = 256, row_chars: int = 4000, sample_byte
     return {k: v for k, v in out.items() if any(v)}
 
 
-def predict(docs: DataFrame, samples: dict[str, bytes], keep: dict[str, Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the columns of ``keep``, lang_pred, score: 1 - bits of the best / bits of the second."""
+def predict(docs: DataFrame, samples: dict[str, bytes], keep: dict[str, Column] | None = None, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, the columns of ``keep`` (and text), lang_pred, score: 1 - bits of the best / bits of the second."""
     keep = keep or {}
     cols = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in keep.items()), F.col(text_col).alias("text"))
 
@@ -198,9 +198,11 @@ def predict(docs: DataFrame, samples: dict[str, bytes], keep: dict[str, Column]
                 score = np.where(letter, score, 0.0)
             else:
                 name, score = ["und"] * n, np.zeros(n)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(name, pa.string()), pa.array(score)], names=[*part.schema.names[:-1], "lang_pred", "score"])
+            own = part.columns if with_text else part.columns[:-1]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(name, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema if f.name != "text")
+    names = cols.columns if with_text else cols.columns[:-1]
+    kinds = ", ".join(f"`{n}` {cols.schema[n].dataType.simpleString()}" for n in names)
     return cols.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 

@@ -14,14 +14,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), _tokenizer(), capacity=1024, end_id=2)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), capacity=1024, end_id=2)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

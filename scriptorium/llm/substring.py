@@ -256,13 +256,16 @@ def repeated(docs: DataFrame, window: int = 13, shard_words: int = 3_000_000) ->
     return written(hits)
 
 
-def remove(docs: DataFrame, window: int = 13, keep: str = "digest", id_col: str = "doc_id", text_col: str = "text", shard_words: int = 3_000_000) -> DataFrame:
+def remove(docs: DataFrame, window: int = 13, keep: str = "digest", carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", shard_words: int = 3_000_000) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by spaces), or ``text``
-    with keep="text": the document without the removed words, all else as it was."""
+    with keep="text": the document without the removed words, all else as it was. ``carry``: other
+    columns of the input, which come as _c0, _c1 and so on."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    more = [f"_c{k}" for k in range(len(carry))]
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, more)))
     hits = repeated(own, window, shard_words).select(F.col("doc_id").alias("_id"), "starts")
     released(docs.sparkSession)
-    joined = own.join(hits, own["doc_id"] == hits["_id"], "left").select("doc_id", "text", "starts")
+    joined = whole.join(hits, whole["doc_id"] == hits["_id"], "left").select("doc_id", "text", "starts", *more)
 
     def run(batches):
         for part, data, off in blocks(batches):
@@ -293,7 +296,8 @@ def remove(docs: DataFrame, window: int = 13, keep: str = "digest", id_col: str
                     out.append(text.decode())
                 else:
                     out.append(hashlib.sha256(b" ".join(compress(words, ~cover) if gone else words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "out"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string()), *part.columns[3:]], names=["doc_id", "n_words", "n_removed", "out", *more])
 
+    kinds = "".join(f", {n} {whole.schema[n].dataType.simpleString()}" for n in more)
     name = "text" if keep == "text" else "kept_sha256"
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, out string").withColumnRenamed("out", name)
+    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, out string" + kinds).withColumnRenamed("out", name)
