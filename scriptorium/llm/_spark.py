@@ -43,13 +43,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/scriptorium/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _mine.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def dropped(df_paths_from: int) -> None:
-    """Remove the tables written since a mark (see ``mark``)."""
-    while len(_mine) > df_paths_from:
-        _remove(*_mine.pop())
+def discard(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    _mine[:] = [x for x in _mine if x[1] != path]
+    _remove(df.sparkSession, path)
 
 
 def released(spark: SparkSession) -> None:
@@ -59,11 +62,10 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def mark() -> int:
-    return len(_mine)
-
-
-atexit.register(lambda: dropped(0))
+@atexit.register
+def _clean_up() -> None:
+    while _mine:
+        _remove(*_mine.pop())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,22 +2,24 @@
 
 A passage of ``window`` words that two documents share also shares each of its ``GRAM``-word grams,
 and so the gram with the smallest hash: its anchor. Successive windows with one anchor make up a
-segment. Steps:
-
-1. Anchors are counted (smallest and largest document id of each, summed up before the shuffle);
-   only segments whose anchor occurs in two documents can hold a shared window.
-2. Those segments are cut out of their documents. Equal segments fold into one with their smallest
-   document id, so a passage in very many documents is one row of the index.
-3. Segments are sharded by anchor: all occurrences of a window meet in one shard. Each shard builds
-   an FM-index of its segments: suffix order, Burrows-Wheeler transform, wavelet matrix with rank
-   counts. Segments are streamed against it: backward search, all windows of a block at once, gives
-   each window's interval; a window whose interval shrinks to one row occurs nowhere else and is
-   dropped on the way. The matching length is known up to the threshold, ``window``. The smallest
-   document id in an interval is the first document that holds that window.
-4. Windows whose first document is smaller than their own are intervals to remove.
-
-Words are compared by 64-bit hashes of their bytes. An anchor with very many different segments makes
-its shard larger, but never by copies of a segment.
+segment. Documents are dealt into groups of about ``group_bytes``; what groups send and get is packed,
+one row for each group and bucket, and summed up inside the group first. Steps:
+
+1. Each group sends its distinct anchors with their smallest and largest document id. Buckets of
+   anchors answer which of them occur in two documents; no other segment can hold a shared window.
+2. Each group cuts out its segments with such anchors and sends each distinct one once, with its
+   smallest and largest document id, to the shard of its anchor: all occurrences of a window meet in
+   one shard, and a passage in very many documents is there once a group.
+3. Each shard builds an FM-index of its distinct segments: suffix order, Burrows-Wheeler transform,
+   wavelet matrix with rank counts. Segments are streamed against it: backward search, all windows of
+   a block at once, gives each window's interval; a window whose interval shrinks to one row occurs
+   nowhere else and is dropped on the way. The matching length is known up to the threshold,
+   ``window``. The smallest document id in an interval is the first document that holds that window.
+4. Each group gets the first documents of its segments' windows, and removes the windows whose first
+   document is smaller than their own.
+
+Words are compared by 64-bit hashes of their bytes, segments by 128 bits. An anchor with very many
+different segments makes its shard larger, but never by copies of a segment within a group.
 
 Edge cases: a null or empty text has no words; a text of fewer words than a window is kept; windows
 repeated only inside one document are kept; a row with a null id is kept whole and is never an
@@ -35,11 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import released, written
-from ._words import Words, blocks, run_hash
+from ._spark import discard, released, written
+from ._words import U, Words, _powers, blocks, mix, run_hash
 
 GRAM = 4
-U = np.uint64
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -70,6 +71,16 @@ def segments(data: np.ndarray, off: np.ndarray, window: int) -> tuple[Words, np.
     return w, anchor[first], row[first], at[first], np.diff(np.concatenate([first, [len(at)]]))
 
 
+def segment_keys(w: Words, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each run of words."""
+    up, down = _powers(w.n + 1)
+    out = []
+    for salt in (U(0x2545F4914F6CDD1D), U(0xD1342543DE82EF95)):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(w.hash ^ salt) * up[: w.n], dtype=U)])
+        out.append(mix((total[begin + size] - total[begin]) * down[begin] + size.astype(U) * salt))
+    return out[0], out[1]
+
+
 class WaveletMatrix:
     """Rank of any symbol in a sequence of whole numbers, by one bit vector with rank counts a level."""
 
@@ -142,162 +153,262 @@ class FMIndex:
         return at[more], lo[more], hi[more]
 
 
-def _shard(words: list[np.ndarray], owner: np.ndarray, window: int) -> list[np.ndarray]:
-    """words: of each segment, its words' hashes; owner: its smallest document. For each segment the
-    smallest document of each of its windows."""
-    sizes = np.array([len(x) for x in words])
+def first_documents(words: np.ndarray, bounds: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """words: hashes of the segments' words, one segment after the other; owner: of each segment, its
+    smallest document. For each window of each segment, in order, the smallest document that has it."""
+    sizes = np.diff(bounds)
+    known, code = np.unique(words, return_inverse=True)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    flat = np.concatenate(words)
-    known, code = np.unique(flat, return_inverse=True)
-    text = np.zeros(begin[-1], np.int64)
     inside = np.ones(begin[-1], bool)
     inside[begin[1:] - 1] = False
+    text = np.zeros(begin[-1], np.int64)
     text[inside] = code + 1
     index = FMIndex(text, len(known) + 1, window)
-    seg = np.repeat(np.arange(len(words)), sizes + 1)
-    first = owner[seg]  # of each place, then of each row of the index
-    at = np.flatnonzero(inside)
-    at = at[(at + window - 1 < len(text))]
-    at = at[seg[at] == seg[at + window - 1]]
-    at = at[inside[at + window - 1]]
-    least = first.copy()
+    first = np.repeat(owner, sizes + 1)[index.order]
+    n = np.maximum(0, sizes - window + 1)
+    at = np.repeat(begin[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    least = np.repeat(owner, n)
     for i in range(0, len(at), 1 << 16):  # streamed in blocks
         got, lo, hi = index.search(text, at[i : i + (1 << 16)], window)
         if len(got):
             pair, back = np.unique(lo << 32 | hi, return_inverse=True)
             lo, hi = pair >> 32, pair & 0xFFFFFFFF
-            rows = first[index.order]
-            bounds = np.stack([lo, hi], 1).ravel()
-            bounds = np.where(bounds == len(rows), len(rows) - 1, bounds)
-            low = np.minimum.reduceat(rows, bounds)[::2]
-            low = np.where(hi == len(rows), np.minimum(low, rows[-1]), low)
-            least[got] = low[back]
-    return [least[b : b + max(0, n - window + 1)] for b, n in zip(begin, sizes)]
-
-
-def _first_documents(distinct: DataFrame, window: int, shards: int) -> DataFrame:
-    """anchor, words (bytes of their hashes), owner -> key of the segment and its windows' first
-    documents, for segments where any of them isn't the segment's own first."""
+            low = np.minimum.reduceat(np.append(first, np.iinfo(np.int64).max), np.stack([lo, hi], 1).ravel())[::2]
+            place = np.searchsorted(at[i : i + (1 << 16)], got) + i
+            least[place] = low[back]
+    return least
+
+
+def _send_anchors(window: int, buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        anchors, docs = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for part, data, off in blocks(table.select(["doc_id", "text"]).to_batches()):
+            _, anchor, row, _, _ = segments(data, off, window)
+            anchors.append(anchor)
+            docs.append(np.asarray(part.column(0))[row])
+        anchor, doc = np.concatenate(anchors), np.concatenate(docs)
+        order = np.lexsort((anchor, anchor % U(buckets)))
+        anchor, doc = anchor[order], doc[order]
+        rows = []
+        if len(anchor):
+            at = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            lo, hi, anchor = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at), anchor[at]
+            ends = np.searchsorted(anchor % U(buckets), np.arange(buckets + 1, dtype=U))
+            for b in np.flatnonzero(np.diff(ends)):
+                own = slice(ends[b], ends[b + 1])
+                rows.append({"grp": table.column("grp")[0].as_py(), "bucket": int(b), "anchors": anchor[own].tobytes(), "lo": lo[own].tobytes(), "hi": hi[own].tobytes()})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("grp", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary())]))
+
+    return run
+
+
+def _by_key(batches, key: str):
+    """Of rows sorted by the key: all of one key at a time, as a dict of lists."""
+    now, rows = None, {}
+    for b in batches:
+        cols = {n: b.column(n).to_pylist() for n in b.schema.names}
+        for i, k in enumerate(cols[key]):
+            if rows and k != now:
+                yield rows
+                rows = {}
+            now = k
+            for n, c in cols.items():
+                rows.setdefault(n, []).append(c[i])
+    if rows:
+        yield rows
+
+
+def _many(raw: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind)
+
+
+def _shared_anchors(batches):
+    for rows in _by_key(batches, "bucket"):
+        anchor, lo, hi = _many(rows["anchors"], U), _many(rows["lo"], np.int64), _many(rows["hi"], np.int64)
+        known, code = np.unique(anchor, return_inverse=True)
+        low, high = np.full(len(known), np.iinfo(np.int64).max), np.full(len(known), np.iinfo(np.int64).min)
+        np.minimum.at(low, code, lo)
+        np.maximum.at(high, code, hi)
+        good = (low < high)[code]
+        at, grps, out = 0, [], []
+        for grp, raw in zip(rows["grp"], rows["anchors"]):
+            n = len(raw) // 8
+            own = anchor[at : at + n][good[at : at + n]]
+            at += n
+            if len(own):
+                grps.append(grp)
+                out.append(own.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(grps, pa.int64()), pa.array(out, pa.binary())], names=["grp", "anchors"])
+
+
+def _send_segments(window: int, shards: int):
+    names = ["shard", "grp", "k1", "k2", "lo", "hi", "sizes", "words"]
+    schema = pa.schema([("shard", pa.int64()), ("grp", pa.int64()), *((n, pa.binary()) for n in names[2:])])
+
+    def run(key, docs: pa.Table, back: pa.Table) -> pa.Table:
+        shared = np.sort(_many(back.column("anchors").to_pylist(), U))
+        rows = []
+        if not len(docs) or not len(shared):
+            return pa.Table.from_pylist(rows, schema=schema)
+        parts = [[] for _ in range(5)]
+        texts = []
+        for part, data, off in blocks(docs.select(["doc_id", "text"]).to_batches()):
+            w, anchor, row, at, n = segments(data, off, window)
+            found = np.searchsorted(shared, anchor)
+            good = np.flatnonzero(shared[np.minimum(found, len(shared) - 1)] == anchor)
+            if not len(good):
+                continue
+            anchor, at, size = anchor[good], at[good], n[good] + window - 1
+            k1, k2 = segment_keys(w, at, size)
+            doc = np.asarray(part.column(0))[row[good]]
+            # of equal segments of the block, the text once
+            order = np.lexsort((doc, k2, k1))
+            new = np.concatenate([[True], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+            at_new = np.flatnonzero(new)
+            top = order[at_new]
+            for x, v in zip(parts, (k1[top], k2[top], anchor[top], np.minimum.reduceat(doc[order], at_new), np.maximum.reduceat(doc[order], at_new))):
+                x.append(v)
+            begin, end = w.start[at[top]], w.end[at[top] + size[top] - 1]
+            raw = data.tobytes()
+            texts += [raw[b:e] for b, e in zip(begin, end)]
+        if not texts:
+            return pa.Table.from_pylist(rows, schema=schema)
+        k1, k2, anchor, lo, hi = map(np.concatenate, parts)
+        shard = (mix(anchor) % U(shards)).astype(np.int64)
+        order = np.lexsort((k2, k1, shard))
+        new = np.concatenate([[True], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+        first = np.flatnonzero(new)
+        top = order[first]
+        lo, hi = np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+        k1, k2, shard = k1[top], k2[top], shard[top]
+        ends = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
+        for a, b in zip(ends[:-1], ends[1:]):
+            own = [texts[i] for i in top[a:b]]
+            rows.append({"shard": int(shard[a]), "grp": key[0].as_py(), "k1": k1[a:b].tobytes(), "k2": k2[a:b].tobytes(), "lo": lo[a:b].tobytes(), "hi": hi[a:b].tobytes(), "sizes": np.array([len(x) for x in own], np.int32).tobytes(), "words": b"".join(own)})
+        return pa.Table.from_pylist(rows, schema=schema)
+
+    return run
+
+
+def _answer(window: int):
+    """Shards of segments -> for each group, the windows' first documents of its segments that may lose
+    any."""
 
     def run(batches):
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        words = [np.frombuffer(x, U) for x in t.column("words").to_pylist()]
-        owner = t.column("owner").to_numpy()
-        least = _shard(words, owner, window)
-        for i in range(0, len(least), 4096):
-            part = slice(i, i + 4096)
-            yield pa.RecordBatch.from_arrays([t.column("key").slice(i, 4096).combine_chunks(), pa.array([x.tobytes() for x in least[part]], pa.binary()), pa.array([int(x.min()) for x in least[part]], pa.int64())], names=["key", "least", "smallest"])
-
-    return distinct.repartition(shards, "anchor").select("key", "words", "owner").mapInArrow(run, "key binary, least binary, smallest bigint")
-
-
-def repeated(docs: DataFrame, window: int = 13, shard_words: int = 3_000_000) -> DataFrame:
-    """doc_id, starts (bytes: the first words, int64, of the windows that an earlier document has).
-    docs: doc_id bigint, text."""
-    spark = docs.sparkSession
-
-    def anchors(batches):
-        for part, data, off in blocks(batches):
-            _, anchor, row, at, n = segments(data, off, window)
-            if len(anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(row))], names=["anchor", "doc_id"])
-
-    own = docs.where("doc_id is not null")
-    seen = own.mapInArrow(anchors, "anchor bigint, doc_id bigint").groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    seen = written(seen)
-
-    def places(batches):
-        for part, data, off in blocks(batches):
+        for rows in _by_key(batches, "shard"):
+            k1, k2 = _many(rows["k1"], U), _many(rows["k2"], U)
+            lo, hi = _many(rows["lo"], np.int64), _many(rows["hi"], np.int64)
+            sizes = _many(rows["sizes"], np.int32).astype(np.int64)
+            data = _many(rows["words"], np.uint8)
+            rows["words"] = None
+            order = np.lexsort((k2, k1))
+            new = np.concatenate([[True], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+            first = np.flatnonzero(new)
+            code = np.empty(len(k1), np.int64)
+            code[order] = np.cumsum(new) - 1
+            owner, top = np.minimum.reduceat(lo[order], first), order[first]
+            # the texts of the distinct segments, one after the other
+            off = np.concatenate([[0], np.cumsum(sizes)])
+            n = sizes[top]
+            take = np.repeat(off[top], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            w = Words(data[take], np.concatenate([[0], np.cumsum(n)]))
+            least = first_documents(w.hash, w.first, owner, window)
+            count = np.maximum(0, np.diff(w.first) - window + 1)
+            begin = np.concatenate([[0], np.cumsum(count)])
+            smallest = np.minimum.reduceat(least, begin[:-1])  # every segment has a window
+            wanted = (hi > lo) | (smallest[code] < lo)
+            at, out = 0, [[], [], [], [], []]
+            for grp, raw in zip(rows["grp"], rows["k1"]):
+                i = at + np.flatnonzero(wanted[at : at + len(raw) // 8])
+                at += len(raw) // 8
+                if len(i):
+                    n = count[code[i]]
+                    take = np.repeat(begin[code[i]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    for x, v in zip(out, (grp, k1[i].tobytes(), k2[i].tobytes(), n.astype(np.int32).tobytes(), least[take].tobytes())):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["grp", "k1", "k2", "n", "least"])
+
+    return run
+
+
+def _remove(window: int, keep: str, names: list[str]):
+    def run(key, docs: pa.Table, back: pa.Table) -> pa.Table:
+        k1, k2 = _many(back.column("k1").to_pylist(), U), _many(back.column("k2").to_pylist(), U)
+        count = _many(back.column("n").to_pylist(), np.int32).astype(np.int64)
+        least = _many(back.column("least").to_pylist(), np.int64)
+        begin = np.cumsum(count) - count
+        order = np.lexsort((k2, k1))
+        k1, k2, begin = k1[order], k2[order], begin[order]
+        n_words, n_removed, out = [], [], []
+        docs = docs.select(names)
+        for part, data, off in blocks(docs.to_batches()):
             w, anchor, row, at, n = segments(data, off, window)
-            if len(anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(at - w.first[row]), pa.array(n)], names=["anchor", "doc_id", "at", "n"])
-
-    shared = own.mapInArrow(places, "anchor bigint, doc_id bigint, at bigint, n bigint").join(seen, "anchor", "left_semi")
-    wanted = written(shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "n")).alias("cut")))
-
-    def cut(batches):
-        for batch in batches:
-            done = 0
-            for part, data, off in blocks([batch]):
-                w = Words(data, off)
-                col = part.column(2)
-                flat, ends = col.flatten(), np.asarray(col.value_lengths().fill_null(0))
-                row = np.repeat(np.arange(len(part)), ends)
-                anchor, at, n = (np.asarray(flat.field(k)) for k in range(3))
-                begin = w.first[row] + at
-                size = n + window - 1
-                # rows that repeat an id may have other texts: their segments are checked by anchor
-                ok = begin + size <= w.first[row + 1]
-                row, anchor, at, begin, size = row[ok], anchor[ok], at[ok], begin[ok], size[ok]
-                words = [w.hash[b : b + s].tobytes() for b, s in zip(begin, size)]
-                key = [hashlib.blake2b(x, digest_size=16).digest() for x in words]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(anchor), pa.array(at), pa.array(key, pa.binary()), pa.array(words, pa.binary())], names=["doc_id", "anchor", "at", "key", "words"])
-
-    found = written(own.join(wanted, "doc_id").select("doc_id", "text", "cut").mapInArrow(cut, "doc_id bigint, anchor bigint, at bigint, key binary, words binary"))
-    released(spark)
-    distinct = written(found.groupBy("key").agg(F.first("anchor").alias("anchor"), F.first("words").alias("words"), F.min("doc_id").alias("owner")))
-    total = distinct.agg(F.sum(F.length("words"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8 // shard_words + 1)
-    first = written(_first_documents(distinct, window, shards))
-    hit = found.select("doc_id", "at", "key").join(first, "key").where("smallest < doc_id").select("doc_id", "at", "least")
-
-    def starts(batches):
-        for b in batches:
-            doc, at = np.asarray(b.column(0)), np.asarray(b.column(1))
-            out = []
-            for d, a, x in zip(doc, at, b.column(2).to_pylist()):
-                out.append((a + np.flatnonzero(np.frombuffer(x, np.int64) < d)).astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "starts"])
+            cover = np.zeros(w.n, bool)
+            if len(k1) and len(at):
+                a, b = segment_keys(w, at, n + window - 1)
+                i = np.searchsorted(k1, a)
+                i[i == len(k1)] = 0
+                doc = part.column(0)
+                known = ~np.asarray(doc.is_null())[row]
+                good = np.flatnonzero((k1[i] == a) & (k2[i] == b) & known)
+                i, at, n, row = i[good], at[good], n[good], row[good]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                first = least[np.repeat(begin[i], n) + step]
+                gone = (np.repeat(at, n) + step)[first < np.repeat(np.asarray(doc.fill_null(0))[row], n)]
+                edge = np.zeros(w.n + 1, np.int64)
+                np.add.at(edge, gone, 1)
+                np.add.at(edge, gone + window, -1)
+                cover = np.cumsum(edge[:-1]) > 0
+            lost = np.diff(np.concatenate([[0], np.cumsum(cover)])[w.first])
+            n_words.append(np.diff(w.first))
+            n_removed.append(lost)
+            raw = data.tobytes()
+            for r in range(len(part)):
+                text = raw[off[r] : off[r + 1]]
+                if keep == "text":
+                    if lost[r]:
+                        a, b = w.first[r], w.first[r + 1]
+                        good = np.ones(len(text), bool)
+                        stop = np.append(w.start[a + 1 : b], off[r + 1]) - off[r]
+                        for x, y in zip(w.start[a:b][cover[a:b]] - off[r], stop[cover[a:b]]):
+                            good[x:y] = False
+                        text = np.frombuffer(text, np.uint8)[good].tobytes()
+                    out.append(text.decode())
+                else:
+                    words = text.split()
+                    out.append(hashlib.sha256(b" ".join(compress(words, ~cover[w.first[r] : w.first[r + 1]]) if lost[r] else words)).hexdigest())
+        none = np.zeros(0, np.int64)
+        cols = [docs.column(0), pa.array(np.concatenate([none, *n_words]), pa.int64()), pa.array(np.concatenate([none, *n_removed]), pa.int64()), pa.array(out, pa.string()), *docs.columns[2:]]
+        return pa.table(cols, names=["doc_id", "n_words", "n_removed", "out", *names[2:]])
 
-    hits = hit.mapInArrow(starts, "doc_id bigint, starts binary").groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
-    return written(hits)
+    return run
 
 
-def remove(docs: DataFrame, window: int = 13, keep: str = "digest", carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", shard_words: int = 3_000_000) -> DataFrame:
+def remove(docs: DataFrame, window: int = 13, keep: str = "digest", carry: tuple[str, ...] = (), group_bytes: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by spaces), or ``text``
     with keep="text": the document without the removed words, all else as it was. ``carry``: other
     columns of the input, which come as _c0, _c1 and so on."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = docs.sparkSession
     more = [f"_c{k}" for k in range(len(carry))]
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, more)))
-    hits = repeated(own, window, shard_words).select(F.col("doc_id").alias("_id"), "starts")
-    released(docs.sparkSession)
-    joined = whole.join(hits, whole["doc_id"] == hits["_id"], "left").select("doc_id", "text", "starts", *more)
-
-    def run(batches):
-        for part, data, off in blocks(batches):
-            raw = data.tobytes()
-            n_words, n_removed, out = [], [], []
-            for r, starts in enumerate(part.column(2).to_pylist()):
-                text = raw[off[r] : off[r + 1]]
-                words = text.split()
-                n_words.append(len(words))
-                gone = 0
-                if starts:
-                    at = np.frombuffer(b"".join(starts), np.int64)
-                    at = at[at + window <= len(words)]
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + window, -1)
-                    cover = np.cumsum(step[:-1]) > 0
-                    gone = int(cover.sum())
-                n_removed.append(gone)
-                if keep == "text":
-                    if gone:
-                        w = Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), hashed=False)
-                        bytes_kept = np.ones(len(text), bool)
-                        for i in np.flatnonzero(cover):
-                            stop = w.start[i + 1] if i + 1 < w.n else len(text)
-                            bytes_kept[w.start[i] : stop] = False
-                        text = np.frombuffer(text, np.uint8)[bytes_kept].tobytes()
-                    out.append(text.decode())
-                else:
-                    out.append(hashlib.sha256(b" ".join(compress(words, ~cover) if gone else words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(out, pa.string()), *part.columns[3:]], names=["doc_id", "n_words", "n_removed", "out", *more])
-
+    size = whole.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    groups = max(1, (size[0] or 0) // group_bytes, size[1] // 20_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups)
+    whole = whole.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)))
+    own = whole.where("doc_id is not null").select("grp", "doc_id", "text")
+    sent = written(own.groupBy("grp").applyInArrow(_send_anchors(window, parts), "grp bigint, bucket bigint, anchors binary, lo binary, hi binary"))
+    released(spark)
+    shared = written(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "grp bigint, anchors binary"))
+    discard(sent)
+    released(spark)
+    binary = "k1 binary, k2 binary, lo binary, hi binary, sizes binary, words binary"
+    cut = written(own.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_send_segments(window, parts), f"shard bigint, grp bigint, {binary}"))
+    discard(shared)
+    released(spark)
+    first = written(cut.repartition("shard").sortWithinPartitions("shard").mapInArrow(_answer(window), "grp bigint, k1 binary, k2 binary, n binary, least binary"))
+    discard(cut)
+    released(spark)
     kinds = "".join(f", {n} {whole.schema[n].dataType.simpleString()}" for n in more)
     name = "text" if keep == "text" else "kept_sha256"
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, out string" + kinds).withColumnRenamed("out", name)
+    out = whole.groupBy("grp").cogroup(first.groupBy("grp")).applyInArrow(_remove(window, keep, ["doc_id", "text", *more]), "doc_id bigint, n_words bigint, n_removed bigint, out string" + kinds)
+    return out.withColumnRenamed("out", name)
