@@ -9,8 +9,9 @@ region: one of up to REGION members is searched whole, a larger one is split by
 what is still larger at full depth is searched in overlapping windows along the order, each with the
 region's hub. Pairs whose signatures already rule a link out are dropped. In a first round a region
 gives just the candidates that would join its members (a hub, the row most like the others, comes
-first in large ones); in a second round, with the components known, all pairs of members that are
-still apart. So there are a few candidates a document, whatever the size of its group. Every
+first in large ones). In later rounds, with the components known, members that are still apart give
+all their pairs in a small region and their likeliest ones in a large one; those with more search on,
+for twice as many each round, until none is left or a round finds no link. So the candidates of a document don't grow with its group. Every
 candidate is confirmed on the full sets of the whole texts.
 
 A pair exactly at the threshold is in no common region with a probability under ``miss``.
@@ -30,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
+from ._spark import released, written
 from ._words import Words, blocks, mix, row_sets
 from .components import components
 
 DEPTH, MIN_DEPTH, REGION = 4, 3, 48
+#: MinHash values a similarity is estimated from; those beyond the trees' are kept as a byte each.
+ESTIMATE = 128
+#: Others that a row of a large region lists in the second round; later rounds double it.
+FIRST_LIST = 32
 U = np.uint64
 
 
@@ -62,57 +67,69 @@ def _prints(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(docs: DataFrame, shingle: int, trees: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, p1, p2 (fingerprint of the set), sig (trees * DEPTH * 4 bytes)."""
+    """doc_id, n_shingles, p1, p2 (fingerprint of the set), sig (the trees' values, four bytes each)
+    and small (of ESTIMATE values one byte each)."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    mul, xor = _functions(trees * DEPTH)
+    wide = trees * DEPTH
+    n_all = max(wide, ESTIMATE)
+    mul, xor = _functions(n_all)
 
     def run(batches):
         for part, data, off in blocks(batches):
             sets, bounds = _sets(data, off, shingle)
             count = np.diff(bounds)
             some = np.flatnonzero(count)
-            sig = np.zeros((len(count), trees * DEPTH), ">u4")
+            sig = np.zeros((len(count), wide), ">u4")
+            small = np.zeros((len(count), n_all), np.uint8)
             if len(some):
                 at = bounds[:-1][some]
-                for k in range(trees * DEPTH):
-                    sig[some, k] = np.minimum.reduceat((sets ^ xor[k]) * mul[k], at) >> U(20)
+                for k in range(n_all):
+                    least = np.minimum.reduceat((sets ^ xor[k]) * mul[k], at) >> U(20)
+                    small[some, k] = least & U(0xFF)
+                    if k < wide:
+                        sig[some, k] = least & U(0xFFFFFFFF)
             p1, p2 = _prints(sets, bounds)
-            wide = trees * DEPTH * 4
-            raw = pa.Array.from_buffers(pa.binary(wide), len(count), [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(p1), pa.array(p2), raw], names=["doc_id", "n_shingles", "p1", "p2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count, pa.int64()), pa.array(p1), pa.array(p2), _binary(sig.view(np.uint8).reshape(len(count), -1)), _binary(small)], names=["doc_id", "n_shingles", "p1", "p2", "sig", "small"])
 
-    return cols.mapInArrow(run, "doc_id bigint, n_shingles bigint, p1 bigint, p2 bigint, sig binary")
+    return cols.mapInArrow(run, "doc_id bigint, n_shingles bigint, p1 bigint, p2 bigint, sig binary, small binary")
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A matrix of bytes as a binary column."""
+    n, wide = rows.shape
+    return pa.Array.from_buffers(pa.binary(wide), n, [None, pa.py_buffer(np.ascontiguousarray(rows).tobytes())]).cast(pa.binary())
+
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(len(col), -1)
 
 
 def _forest(reps: DataFrame, trees: int) -> DataFrame:
-    """A row for each tree of each representative: its key (tree number and DEPTH values, as bytes)
-    and of all values one byte each."""
+    """A row for each tree of each representative, with its key: tree number and DEPTH values."""
 
     def run(batches):
         for b in batches:
             n = len(b)
             if not n:
                 continue
-            sig = np.frombuffer(b"".join(b.column(3).to_pylist()), ">u4").reshape(n, trees * DEPTH)
-            small = np.ascontiguousarray((sig & 0xFF).astype(np.uint8))
-            small = pa.Array.from_buffers(pa.binary(trees * DEPTH), n, [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
+            sig, step = _matrix(b.column(4)), 4 * DEPTH
             for t in range(trees):
-                key = np.empty((n, 1 + 4 * DEPTH), np.uint8)
+                key = np.empty((n, 1 + step), np.uint8)
                 key[:, 0] = t
-                key[:, 1:] = np.ascontiguousarray(sig[:, t * DEPTH : (t + 1) * DEPTH]).view(np.uint8).reshape(n, 4 * DEPTH)
-                key = pa.Array.from_buffers(pa.binary(1 + 4 * DEPTH), n, [None, pa.py_buffer(key.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], key, small], names=["id", "n", "comp", "key", "small"])
+                key[:, 1:] = sig[:, t * step : (t + 1) * step]
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], _binary(key), b.column(5)], names=["id", "n", "comp", "search", "key", "small"])
 
-    return reps.mapInArrow(run, "id bigint, n bigint, comp bigint, key binary, small binary")
+    return reps.mapInArrow(run, "id bigint, n bigint, comp bigint, search boolean, key binary, small binary")
 
 
 class _Rows:
-    """Rows of a stretch of the sorted order; ``comp``: the component so far."""
+    """Rows of a stretch of the sorted order; ``comp``: the component so far; ``search``: the row
+    still looks for others."""
 
-    NAMES = ("ids", "n", "comp", "key", "small")
+    NAMES = ("ids", "n", "comp", "search", "key", "small")
 
-    def __init__(self, ids, n, comp, key, small):
-        self.ids, self.n, self.comp, self.key, self.small = ids, n, comp, key, small
+    def __init__(self, ids, n, comp, search, key, small):
+        self.ids, self.n, self.comp, self.search, self.key, self.small = ids, n, comp, search, key, small
 
     def take(self, at):
         return _Rows(*(getattr(self, x)[at] for x in self.NAMES))
@@ -123,11 +140,12 @@ class _Rows:
 
 
 class _Search:
-    """Candidate pairs in regions. first: links that would join what a window holds; otherwise all
-    pairs of different components."""
+    """Candidate pairs in regions. most 0: pairs that would join what a window holds, in ``out``.
+    Otherwise of each searching row those of other components, in a large region the likeliest ones
+    but for those of the round before (``most`` / 2), in ``lists`` as (row, others, cut short)."""
 
-    def __init__(self, low: float, share: float, first: bool):
-        self.low, self.share, self.first, self.out = low, share, first, []
+    def __init__(self, low: float, share: float, most: int):
+        self.low, self.share, self.first, self.most, self.out, self.lists = low, share, not most, most, [], []
 
     def window(self, r: _Rows, hubs: int = 0) -> None:
         """Up to REGION rows or so; the first ``hubs`` of them come first in any case."""
@@ -145,16 +163,17 @@ class _Search:
                     group[group == group[i]] = group[j]
                     own[group[:i] == group[i]] = 0
         else:
-            a, b = np.nonzero(np.triu(like >= self.low, 1) & (group[:, None] != group[None, :]))
-            self.out.extend(zip(r.ids[a], r.ids[b]))
+            pair = np.triu(like >= self.low, 1) & (group[:, None] != group[None, :]) & (r.search[:, None] | r.search[None, :])
+            self.lists.extend((r.ids[i], r.ids[np.flatnonzero(pair[i])], False) for i in np.flatnonzero(pair.any(1)))
 
     def region(self, r: _Rows, depth: int) -> None:
         m = len(r.ids)
         if m <= REGION:
             if m > 1:
                 self.window(r)
-            return
-        if depth < DEPTH:
+        elif not self.first:
+            self.apart(r)
+        elif depth < DEPTH:
             k = 1 + 4 * (depth + 1)
             cut = np.flatnonzero((r.key[1:, :k] != r.key[:-1, :k]).any(1)) + 1
             parts = np.split(np.arange(m), cut)
@@ -168,6 +187,24 @@ class _Search:
         else:
             self.windows(r)
 
+    def apart(self, r: _Rows) -> None:
+        """Searching rows outside the region's largest component, against all of the region."""
+        _, group, size = np.unique(r.comp, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero((group != size.argmax()) & r.search)
+        for i in range(0, len(rest), 32):
+            own = rest[i : i + 32]
+            like = np.concatenate([(r.small[own][:, None, :] == r.small[None, j : j + 2048, :]).mean(2) for j in range(0, len(r.ids), 2048)], 1)
+            like[np.minimum.outer(r.n[own], r.n) < self.share * np.maximum.outer(r.n[own], r.n) - 1e-9] = 0
+            like[np.arange(len(own)), own] = 0
+            for x, row in zip(own, like):
+                found = np.flatnonzero(row >= self.low)
+                found = found[np.argsort(-row[found], kind="stable")]
+                cut = len(found) > self.most
+                found = found[self.most // 2 if self.most > FIRST_LIST else 0 : self.most]
+                found = found[group[found] != group[x]]
+                if len(found) or cut:
+                    self.lists.append((r.ids[x], r.ids[found], cut))
+
     @staticmethod
     def hub(r: _Rows) -> int:
         """The row most like the others: nearest to the commonest value at each place."""
@@ -185,10 +222,11 @@ class _Search:
                 self.window(r.take(at), 1)
 
 
-def candidates(reps: DataFrame, trees: int, share: float, first: bool = True) -> DataFrame:
-    """Pairs a < b of representatives' ids that may be links, once each. reps: id, n_shingles, comp,
-    sig."""
-    low = share - 4.5 * math.sqrt(share * (1 - share) / (trees * DEPTH))
+def candidates(reps: DataFrame, trees: int, share: float, most: int = 0) -> DataFrame:
+    """most 0: pairs a < b that may be links, once each. Otherwise a, others (array, once each), cut:
+    see _Search. reps: id, n, comp, search, sig, small. A link is ruled out if the estimate is four
+    standard deviations under the threshold."""
+    low = share - 4 * math.sqrt(share * (1 - share) / max(trees * DEPTH, ESTIMATE))
 
     def run(batches):
         kept = None  # the end of the last stretch, whose region may go on
@@ -197,10 +235,10 @@ def candidates(reps: DataFrame, trees: int, share: float, first: bool = True) ->
             n = len(b)
             if not n:
                 continue
-            rows = _Rows(*(np.asarray(b.column(k)) for k in range(3)), *(np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in (3, 4)))
+            rows = _Rows(*(np.asarray(b.column(k)) for k in range(4)), _matrix(b.column(4)), _matrix(b.column(5)))
             if kept is not None:
                 rows = _Rows.join([kept, rows])
-            n, search = len(rows.ids), _Search(low, share, first)
+            n, search = len(rows.ids), _Search(low, share, most)
             cut = np.concatenate([[0], np.flatnonzero((rows.key[1:, :wide] != rows.key[:-1, :wide]).any(1)) + 1, [n]])
             size = np.diff(cut)
             two = cut[:-1][size == 2]
@@ -208,9 +246,14 @@ def candidates(reps: DataFrame, trees: int, share: float, first: bool = True) ->
                 like = (rows.small[two] == rows.small[two + 1]).mean(1)
                 x, y = rows.n[two], rows.n[two + 1]
                 ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9) & (rows.comp[two] != rows.comp[two + 1])
-                search.out.extend(zip(rows.ids[two][ok], rows.ids[two + 1][ok]))
+                ok &= rows.search[two] | rows.search[two + 1]
+                if most:
+                    search.lists.extend((i, [j], False) for i, j in zip(rows.ids[two][ok], rows.ids[two + 1][ok]))
+                else:
+                    search.out.extend(zip(rows.ids[two][ok], rows.ids[two + 1][ok]))
             for k in np.flatnonzero(size > 2):
-                search.region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH)
+                if rows.search[cut[k] : cut[k + 1]].any():
+                    search.region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH)
             last = np.arange(cut[-2], n)  # a large region goes on with its hub and its last rows
             if len(last) > REGION:
                 last = np.unique(np.concatenate([last[[search.hub(rows.take(last))]], last[1 - REGION :]]))
@@ -218,11 +261,21 @@ def candidates(reps: DataFrame, trees: int, share: float, first: bool = True) ->
             if search.out:
                 pairs = np.unique(np.sort(np.array(search.out, np.int64), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if search.lists:
+                found: dict[int, list] = {}
+                for i, others, short in search.lists:
+                    own = found.setdefault(int(i), [set(), False])
+                    own[0].update(map(int, others))
+                    own[1] |= short
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([sorted(x) for x, _ in found.values()], pa.list_(pa.int64())), pa.array([x for _, x in found.values()], pa.bool_())], names=["a", "others", "cut"])
 
     forest = _forest(reps, trees)
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = forest.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
-    return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    if not most:
+        return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    lists = ordered.mapInArrow(run, "a bigint, others array<bigint>, cut boolean")
+    return lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"), F.max("cut").alias("cut"))
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -260,21 +313,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sigs = written(signatures(own, shingle, trees))
     sets = sigs.where("doc_id is not null and n_shingles > 0")
-    reps = sets.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = sets.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("small").alias("small"))
     copies = sets.select("doc_id", "p1", "p2", F.col("n_shingles").alias("n"))
     reps = written(reps)
     texts = own.where("doc_id is not null")
-    pairs = written(candidates(reps.select("rep", "n_shingles", F.col("rep").alias("comp"), "sig"), trees, share))
-    links = written(_confirm(pairs, texts, shingle, percent))
-    so_far = components(links)
-    again = reps.join(so_far, reps["rep"] == so_far["id"], "left").select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), "sig")
-    more = written(candidates(again, trees, share, first=False).join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(_confirm(more, texts, shingle, percent))
+    tried = written(candidates(reps.select("rep", "n_shingles", F.col("rep").alias("comp"), F.lit(True).alias("search"), "sig", "small"), trees, share))
+    links, most, left = written(_confirm(tried, texts, shingle, percent)), FIRST_LIST, None
+    while True:
+        so_far = components(links)
+        again = reps.join(so_far, reps["rep"] == so_far["id"], "left")
+        if left is not None:  # only rows whose lists were cut short search on, and only rows seen in any list can be found
+            seen = tried.select(F.col("a").alias("_s")).union(tried.select("b")).distinct()
+            again = again.join(seen, again["rep"] == seen["_s"], "left_semi").join(left.select(F.col("a").alias("_l")), F.col("rep") == F.col("_l"), "left")
+        search = F.lit(True) if left is None else F.col("_l").isNotNull()
+        lists = written(candidates(again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), search.alias("search"), "sig", "small"), trees, share, most))
+        pairs = lists.select("a", F.explode("others").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = written(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = written(_confirm(more, texts, shingle, percent))
+        left = lists.where("cut")
+        if not new.limit(1).count():
+            break
+        links, tried, most = links.union(new), tried.union(more), 2 * most
+        if not left.limit(1).count():
+            so_far = components(links)
+            break
+        released(docs.sparkSession)
     heads = reps.select("p1", "p2", F.col("n_shingles").alias("n"), "rep")
     joined = written(copies.join(heads, ["p1", "p2", "n"]).select("doc_id", "rep"))
     # an id that repeats with several texts ties their representatives
-    tied = joined.where("doc_id <> rep").join(joined.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).where("k > 1").select("doc_id"), "doc_id", "left_semi")
-    found = components(links.union(tied.select("doc_id", "rep")))
+    tied = written(joined.where("doc_id <> rep").join(joined.groupBy("doc_id").agg(F.countDistinct("rep").alias("k")).where("k > 1").select("doc_id"), "doc_id", "left_semi"))
+    found = components(links.union(tied.select("doc_id", "rep"))) if tied.limit(1).count() else so_far
     of = joined.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     of = of.join(found, of["rep"] == found["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     of = of.withColumnRenamed("doc_id", "_id")
