@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import released, written
+from ._spark import discard, released, written
 from ._words import U, Words, blocks
 
 DEPTH = 5
@@ -342,6 +342,7 @@ def score(docs: DataFrame, train: Column, keep: dict[str, Column] | None = None,
     released(spark)
     sums = sent.select("kind", "bucket", "keys", "counts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
     sums = written(sums.mapInArrow(_sums, "kind string, bucket bigint, keys binary, counts binary, n_keys bigint, total bigint"))
+    released(spark)
     known = sums.where("kind = 'w'").agg(F.sum("n_keys"), F.sum("total")).first()
     # the shallow tree: at most 256 * 256 counts and 255 * 256 sums for each bucket
     small = {"p": [[], []], "l": [[], []]}
@@ -358,6 +359,8 @@ def score(docs: DataFrame, train: Column, keep: dict[str, Column] | None = None,
     asked = asked.unionByName(sent.withColumn("counts", F.lit(None).cast("binary")))
     asked = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "grp")
     back = written(asked.mapInArrow(_answers(shallow), "grp bigint, kind string, bucket bigint, vals binary"))
+    discard(sent)
+    discard(sums)
     released(spark)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name not in ("grp", "train", "text"))
     scored = own.groupBy("grp").cogroup(back.groupBy("grp"))
