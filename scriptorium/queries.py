@@ -9,6 +9,7 @@ from .functions import names as N
 from .functions import text as T
 from .operators import groups, keys, markers, matching, privacy, render, structure, validation
 from .plans.views import joined, sql, view
+from .sources import references
 from .streaming import limits
 
 QUERIES: dict = {}
@@ -440,3 +441,84 @@ _MANIFESTS = "SELECT n_name AS name, CASE WHEN n_nationkey % 3 > 0 THEN 'NATION_
 @query(f"WITH m AS ({_MANIFESTS.format(nation='nation')}) SELECT a.name, coalesce(a.class, b.class) AS class, coalesce(a.style, b.style) AS style FROM m a LEFT JOIN m b ON a.extends = b.name")
 def q40_manifest_overlay(spark, sf_dir):
     return groups.overlay(spark.sql(_MANIFESTS, nation=table(spark, sf_dir, "nation")))
+
+
+@query(sql("library") + f",\n{_BASE} SELECT pos, key, title, year, container, volume, issue, replace(pages, '-', '--') AS pages, doi, family, replace(given, '#', chr(92) || '#') AS given FROM lib")
+def q41_parse_bibtex(spark, sf_dir):
+    """The library written as BibTeX and read back."""
+    texts = rendered_library(spark, sf_dir).select(F.col("pos").cast("string").alias("doc_id"), render.to_bibtex().alias("text"))
+    got = references.parse(texts, "bib")
+    return got.select(F.col("doc_id").cast("long").alias("pos"), "key", "title", "year", F.replace(F.col("container"), F.lit("\\#"), F.lit("#")).alias("container"), "volume", "issue", "pages", "doi", F.col("authors")[0]["family"].alias("family"), F.col("authors")[0]["given"].alias("given"))
+
+
+@query(sql("library") + " SELECT pos, CAST(pos AS VARCHAR) AS key, 'article' AS entry_type, title, year, container, doi, family, given FROM library")
+def q42_parse_csl_json(spark, sf_dir):
+    lib = view(spark, sf_dir, "library")
+    author = F.array(F.struct("family", "given"))
+    item = F.struct(F.col("pos").alias("id"), F.lit("article-journal").alias("type"), "title", F.col("container").alias("container-title"), F.col("doi").alias("DOI"), author.alias("author"), F.struct(F.array(F.array(F.col("year").cast("int"))).alias("date-parts")).alias("issued"))
+    texts = lib.select(F.col("pos").alias("doc_id"), F.concat(F.lit('{"items": ['), F.to_json(item), F.lit("]}")).alias("text"))
+    got = references.parse_csl_json(texts)
+    return got.select(F.col("doc_id").cast("long").alias("pos"), "key", "entry_type", "title", "year", "container", "doi", F.col("authors")[0]["family"].alias("family"), F.col("authors")[0]["given"].alias("given"))
+
+
+@query(sql("library") + " SELECT pos, title, year, container, doi, family FROM library")
+def q43_parse_nbib(spark, sf_dir):
+    lib = view(spark, sf_dir, "library")
+    line = lambda tag, x: F.concat(F.lit(f"{tag.ljust(4)}- "), x, F.lit("\n"))
+    text = F.concat(line("PMID", F.col("pos").cast("string")), line("TI", F.regexp_replace("title", " ", "\n      ")), line("AU", F.concat("family", F.lit(" AB"))), line("DP", F.concat("year", F.lit(" Jan 3"))), line("JT", F.col("container")), F.coalesce(line("LID", F.concat("doi", F.lit(" [doi]"))), F.lit("")))
+    got = references.parse(lib.select(F.col("pos").alias("doc_id"), text.alias("text")), "nbib")
+    return got.select(F.col("doc_id").cast("long").alias("pos"), "title", "year", "container", "doi", F.col("authors")[0]["family"].alias("family"))
+
+
+@query(sql("library") + " SELECT pos, CAST(pos AS VARCHAR) AS raw_id, 'incollection' AS entry_type, title, year, doi, family, given FROM library")
+def q44_parse_endnote_xml(spark, sf_dir):
+    lib = view(spark, sf_dir, "library")
+    tag = lambda name, x: F.concat(F.lit(f"<{name}>"), x, F.lit(f"</{name}>"))
+    style = lambda x: F.concat(F.lit("<style>"), x, F.lit("</style>"))
+    text = F.concat(F.lit('<xml><records><record><ref-type name="Book Section">5</ref-type>'), tag("rec-number", F.col("pos").cast("string")), tag("contributors", tag("authors", tag("author", style(F.concat("family", F.lit(", "), "given"))))), tag("titles", tag("title", style(F.col("title")))), tag("dates", tag("year", F.col("year"))), F.coalesce(tag("electronic-resource-num", F.col("doi")), F.lit("")), F.lit("</record></records></xml>"))
+    got = references.parse(lib.select(F.col("pos").alias("doc_id"), text.alias("text")), "xml")
+    return got.select(F.col("doc_id").cast("long").alias("pos"), "raw_id", "entry_type", "title", "year", "doi", F.col("authors")[0]["family"].alias("family"), F.col("authors")[0]["given"].alias("given"))
+
+
+@query(sql("citations") + " SELECT doc_id, place, 'T' || part || ',' || 'U' || place AS tags, 'wordnative' AS kind FROM citations")
+def q45_word_field_tags(spark, sf_dir):
+    c = view(spark, sf_dir, "citations")
+    field = F.concat(F.lit(" CITATION T"), F.col("part").cast("string"), F.lit(r" \l 1033 \p 3 \m U"), F.col("place").cast("string"), F.lit(r" \t "))
+    return c.select("doc_id", "place", joined(references.word_tags(field)).alias("tags"), references.classify_marker(field).alias("kind"))
+
+
+@query(sql("library") + " SELECT pos, CAST(pos AS VARCHAR) AS raw_id, title, year, family FROM library")
+def q46_parse_csl_fields(spark, sf_dir):
+    lib = view(spark, sf_dir, "library")
+    item = F.struct(F.array(F.struct(F.struct(F.col("pos").alias("id"), "title", F.array(F.struct("family")).alias("author"), F.struct(F.col("year").alias("raw")).alias("issued")).alias("itemData"))).alias("citationItems"))
+    got = references.parse(lib.select(F.col("pos").alias("doc_id"), F.concat(F.lit("ADDIN ZOTERO_ITEM CSL_CITATION "), F.to_json(item), F.lit(" trailing")).alias("text")), "zotero")
+    return got.select(F.col("doc_id").cast("long").alias("pos"), "raw_id", "title", "year", F.col("authors")[0]["family"].alias("family"))
+
+
+@query(sql("citations", "library") + f""",\n{_BASE} SELECT doc_id, '\\cite{{' || string_agg(CASE WHEN part % 2 = 0 THEN 'new' || part ELSE 'k' || part END, ',' ORDER BY place) || '}} and \\cite{{x}}' AS text FROM citations GROUP BY doc_id""")
+def q47_remap_cites(spark, sf_dir):
+    c = view(spark, sf_dir, "citations")
+    keys_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: F.concat(F.lit("k"), x["part"].cast("string"))), ", ")
+    texts = c.groupBy("doc_id").agg(F.concat(F.lit("\\cite{"), keys_, F.lit("} and \\cite{x}")).alias("text"))
+    remap = c.where("part % 2 = 0").select(F.concat(F.lit("k"), F.col("part").cast("string")).alias("key"), F.concat(F.lit("new"), F.col("part").cast("string")).alias("final_key")).distinct()
+    return markers.remap_cite_keys(texts, remap, "doc_id")
+
+
+@query(sql("library") + " SELECT pos, family || ', ' || given || '; ' || container AS line, family || '|' || given || '/' || container || '|' AS back FROM library")
+def q48_author_text_round_trip(spark, sf_dir):
+    lib = view(spark, sf_dir, "library")
+    line = N.to_text(F.array(N.name(F.col("family"), F.col("given")), N.name(F.lit(""), F.lit(""), F.col("container"))))
+    back = F.array_join(F.transform(N.from_text(line), lambda n: F.concat(n["family"], F.lit("|"), n["given"])), "/")
+    return lib.select("pos", line.alias("line"), back.alias("back"))
+
+
+@query(sql("findings") + " SELECT doc_id, bool_or(severity IN ('high', 'medium')) AS fails FROM findings GROUP BY 1")
+def q49_severity_gate(spark, sf_dir):
+    return privacy.should_fail(view(spark, sf_dir, "findings"), "medium", "doc_id")
+
+
+@query("SELECT user_id AS key, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 32")
+def q50_recent_sessions(spark, sf_dir):
+    """A top-k report: the 32 clients seen last."""
+    out = limits.least_recent_out(_accesses(spark, sf_dir), 32)
+    return out.select("key", F.unix_micros(F.col("last").cast("timestamp")).alias("last_us"))
