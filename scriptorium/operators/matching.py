@@ -59,7 +59,7 @@ def reconcile(typed: DataFrame, library: DataFrame, remote: DataFrame, threshold
 def report(reconciled: DataFrame) -> DataFrame:
     """total, matched, flagged and the matched share (0 for none)."""
     n = F.count("*")
-    return reconciled.agg(n.alias("total"), F.count_if("not verify").alias("matched"), F.count_if("verify").alias("flagged"), F.round(F.when(n > 0, F.count_if("not verify") / n).otherwise(0.0), 9).alias("matched_fraction"))
+    return reconciled.agg(n.alias("total"), F.count_if(~F.col("verify")).alias("matched"), F.count_if("verify").alias("flagged"), F.round(F.when(n > 0, F.count_if(~F.col("verify")) / n).otherwise(0.0), 9).alias("matched_fraction"))
 
 
 def raw_entries(typed: DataFrame) -> DataFrame:

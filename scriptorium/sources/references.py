@@ -308,10 +308,11 @@ _ITEM = "id string, type string, title string, `container-title` string, publish
 def parse_csl_json(texts: DataFrame) -> DataFrame:
     """doc_id, text (an array of items, or an object with ``items``) -> records, by built-in functions.
     The key is the item's id."""
-    array = f"array<struct<{', '.join(_as_struct(_ITEM))}>>"
+    item = f"struct<{', '.join(_as_struct(_ITEM))}>"
     text = F.trim("text")
     body = F.when(F.startswith(text, F.lit("[")), text).otherwise(F.get_json_object(text, "$.items"))
-    rows = texts.select("doc_id", F.posexplode(F.from_json(body, array)).alias("pos", "i"))
+    each = texts.select("doc_id", F.posexplode(F.from_json(body, "array<string>")).alias("pos", "raw"))  # an item that is no object is left out
+    rows = each.where(F.startswith(F.ltrim("raw"), F.lit("{"))).select("doc_id", "pos", F.from_json("raw", item).alias("i"))
     i = F.col("i")
     year = F.coalesce(*(F.nullif(F.regexp_extract(F.coalesce(x, F.lit("")), r"\d{4}", 0), F.lit("")) for x in (F.get(F.get(i["issued"]["date-parts"], F.lit(0)), F.lit(0)), i["issued"]["raw"], i["issued"]["literal"])))
     clean = lambda c: T.clean(i[c])
@@ -355,5 +356,5 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder or glob (.bib, .ris, .nbib, .xml, .json) -> records; doc_id is the path."""
     files = spark.read.format("binaryFile").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    texts = files.select(F.col("path").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("text"), kind.alias("kind"))
+    texts = files.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), kind.alias("kind"))
     return parse(texts.where("kind <> 'json'"), F.col("kind")).unionByName(parse_csl_json(texts.where("kind = 'json'")))

@@ -50,9 +50,9 @@ def rate_limit(events: DataFrame, limit: int = LIMIT, window: float = WINDOW_S)
     return own.mapInPandas(run, _FORM)
 
 
-def rate_limit_stream(events: DataFrame, limit: int = LIMIT, window: float = WINDOW_S) -> DataFrame:
-    """The same over a stream of (event_id, key, ts); the state is a key's last hits and times out once
-    they have all left the window."""
+def rate_limit_stream(events: DataFrame, limit: int = LIMIT, window: float = WINDOW_S, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream of (event_id, key, ts); the state is a key's last hits, and goes once the
+    watermark shows that they have all left the window."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, batches, state: GroupState):
@@ -63,11 +63,13 @@ def rate_limit_stream(events: DataFrame, limit: int = LIMIT, window: float = WIN
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         ok, wait, hits = admit(rows["t"].tolist(), hits, limit, window)
         state.update((hits,))
-        state.setTimeoutDuration(int(window * 1000))
+        gone = int(((hits or rows["t"].tolist())[-1] + window) * 1000) + 1
+        state.setTimeoutTimestamp(max(gone, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(allowed=ok, retry_after=wait)[["event_id", "key", "t", "allowed", "retry_after"]]
 
-    own = events.select("event_id", F.col("key").cast("long").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
-    return own.groupBy("key").applyInPandasWithState(run, _FORM, "hits array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    seconds = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t")
+    own = events.withWatermark("ts", late).select("event_id", F.col("key").cast("long").alias("key"), seconds, "ts")
+    return own.groupBy("key").applyInPandasWithState(run, _FORM, "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(events: DataFrame, gap_s: int = 120) -> DataFrame:

@@ -185,7 +185,7 @@ def test_render(spark):
 
 
 def test_bibtex():
-    text = '@string{np = "Nature Physics"}\n@comment{x}\n@Article{k1, title={A {B}ig, idea}, journal = np, author="Lee, A and Bo Poe and others", year = {May 2020}, doi={https://doi.org/10.1/x}, title={no}}\n@book(k2, title="T (x)", date={1999-01})\n@misc{, title={keyless}}\n@misc{open, title={x'
+    text = '@string{np = "Nature Physics"}\n@comment{x}\n@Article{k1, title={A {B}ig, idea}, journal = np, author="Lee, A and Bo Poe and others", year = {May 2020}, doi={https://doi.org/10.1/x}, title={no}}\n@book(k2, title={T (x)}, date={1999-01})\n@misc{, title={keyless}}\n@misc{open, title={x'
     a, b = references.parse_bibtex(text)
     assert (a["key"], a["title"], a["container"], a["year"], a["doi"], a["entry_type"]) == ("k1", "A Big, idea", "Nature Physics", "2020", "10.1/x", "article")
     assert [(n["family"], n["given"], n["literal"]) for n in a["authors"]] == [("Lee", "A", ""), ("Poe", "Bo", ""), ("", "", "others")]
@@ -257,14 +257,13 @@ def test_rate_limit(spark):
 
 def test_streams(spark, tmp_path):
     """The stream's decisions and sessions are those of the batch form."""
-    rows = [(i, i % 2, float(i * 7)) for i in range(60)]
+    rows = [(i, i % 2, 1e6 + i * 7) for i in range(60)]
     df = spark.createDataFrame(rows, "event_id bigint, key bigint, t double").select("event_id", "key", F.timestamp_seconds("t").alias("ts"))
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     for name, out, mode in (("limited", limits.rate_limit_stream(read(), 3, 60.0), "append"), ("sessions", limits.sessions_stream(read(), 10), "complete")):
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
     assert {r["event_id"]: r["allowed"] for r in spark.table("limited").collect()} == replay(rows, 3, 60.0)
     form = lambda x: sorted((r["key"], r["n"], r["begin"]) for r in x.collect())
     assert form(spark.table("sessions")) == form(limits.sessions(df, 10).select("key", "n", "begin"))
