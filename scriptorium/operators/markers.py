@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -47,3 +47,60 @@ def linkage(texts: DataFrame, citations: DataFrame, *ids: str) -> DataFrame:
     cites = texts.select(*ids, F.regexp_count("text", F.lit(r"\\cite\{")).alias("cites"))
     wanted = citations.groupBy(*ids).agg(F.count("*").alias("citations"))
     return cites.join(wanted, list(ids)).where("cites < citations")
+
+
+# How body text writes markers.
+_NUMBERS = r"[0-9][0-9\s,‒–—-]*"
+NUMERIC = rf"\{{\[\}}({_NUMBERS})\{{\]\}}"
+SUPERSCRIPT = rf"\\textsuperscript\{{({_NUMBERS})\}}"
+SECTION = r"\\(?:sub)*section\*?\{[^}]*\}"
+#: Folding joins neighbours two by two, so this many rounds fold runs of up to 2^ROUNDS markers.
+ROUNDS = 6
+
+
+def fold_joined(text: Column) -> Column:
+    """Two markers of one kind joined by dashes become one marker of the range."""
+    dash = r"\s*[‒–—-]+\s*"
+    for head, tail, new in ((r"\{\[\}", r"\{\]\}", "{[}$1-$2{]}"), (r"\\textsuperscript\{", r"\}", r"\\textsuperscript{$1-$2}")):
+        for _ in range(ROUNDS):
+            text = F.regexp_replace(text, f"{head}({_NUMBERS}){tail}{dash}{head}({_NUMBERS}){tail}", new)
+    return text
+
+
+def _rewrite(texts: DataFrame, pattern: str, resolved, ids: tuple[str, ...]) -> DataFrame:
+    r"""Matches of the pattern (one group) as \cite{keys} where ``resolved`` gives keys; others stay.
+    texts: ids, head (kept as it is), text. resolved: DataFrame of ids, c, body -> ids, c, keys."""
+    parts = texts.select(*ids, "head", F.split("text", pattern).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("raw"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("bodies"))
+    found = resolved(parts.select(*ids, F.posexplode("bodies").alias("c", "body")))
+    new = found.where(F.size("keys") > 0).groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("c", F.concat(F.lit("\\cite{"), F.array_join("keys", ","), F.lit("}"))))).alias("new"))
+    out = parts.join(new, list(ids), "left").withColumn("new", F.coalesce("new", F.create_map().cast("map<int,string>")))
+    shown = F.transform("raw", lambda r, i: F.coalesce(F.element_at("new", i), r))
+    whole = F.array_join(F.zip_with("plain", shown, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return out.select(*ids, "head", whole.alias("text"))
+
+
+def link_numeric(texts: DataFrame, numbered: DataFrame, *ids: str) -> DataFrame:
+    r"""Body text with its numeric markers, and its superscript ones from the first section on, as
+    \cite commands; what no reference has a number for stays as typed. ids, text."""
+
+    def resolved(matches):
+        return resolve_numeric(matches.withColumn("marker", F.col("body")), numbered, *ids, "c").select(*ids, "c", "keys")
+
+    own = texts.select(*ids, F.lit("").alias("head"), fold_joined(F.col("text")).alias("text"))
+    own = _rewrite(own, NUMERIC, resolved, ids)
+    start = F.when(F.rlike("text", F.lit(SECTION)), F.regexp_instr("text", F.lit(SECTION)) - 1).otherwise(0)
+    own = own.select(*ids, F.substring("text", F.lit(1), start).alias("head"), F.substring("text", start + 1, F.length("text")).alias("text"))
+    own = _rewrite(own, SUPERSCRIPT, resolved, ids)
+    return own.select(*ids, F.concat("head", "text").alias("text"))
+
+
+def strip_acknowledgements(text: Column) -> Column:
+    """Without the environment and without the section up to the next structural command."""
+    text = F.regexp_replace(text, r"(?s)[ \t]*\\begin\{acknowledgments?\}.*?\\end\{acknowledgments?\}\n?", "")
+    return F.regexp_replace(text, r"(?ms)^\\section\*?\{Acknowledg[^}]*\}\s*?\n.*?(?=^\\(?:section|subsection|appendix|input|bibliography)|\z)", "")
+
+
+def strip_reference_section(text: Column, headings: str) -> Column:
+    """Without the reference section, from its heading to the end."""
+    at = F.regexp_instr(text, F.lit(rf"(?i)\\(?:sub)*section\*?\{{\s*(?:\d+\.?\s+)?(?:{headings})\s*:?\s*\}}"))
+    return F.when(at > 0, F.concat(F.rtrim(F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")), F.lit("\n"))).otherwise(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -57,3 +57,33 @@ def reference_text() -> Column:
     )
     whole = F.trim(F.array_join(F.filter(F.array_compact(parts), lambda x: x != ""), " "))
     return F.coalesce(F.nullif(F.when(c("source") == "raw", F.trim(F.coalesce(c("title"), F.lit("")))).otherwise(whole), F.lit("")), c("key"))
+
+
+#: How reports name a status, in their order.
+STATUS_LABELS = {"verified": "verified", "mismatch": "field mismatch", "dead_doi": "dead DOI", "doi_suggested": "DOI suggested", "unverifiable": "unverifiable", "unchecked": "unchecked (offline)"}
+
+
+def validation_summary(records: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, line: how many references have which status, without empty ones."""
+    counts = records.groupBy(by).agg(F.count("*").alias("n"), *(F.count_if(F.col("status") == s).alias(s) for s in STATUS_LABELS))
+    parts = F.array_compact(F.array(*(F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {label}"))) for s, label in STATUS_LABELS.items())))
+    return counts.select(by, F.concat(F.lit("Checked "), F.col("n").cast("string"), F.lit(" reference(s): "), F.array_join(parts, ", "), F.lit(".")).alias("line"))
+
+
+def bibliography(refs: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by, bib: the records of each document in order of position, joined by line breaks."""
+    each = refs.select(by, "pos", to_bibtex().alias("b"))
+    return each.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]), "\n").alias("bib"))
+
+
+def reference_list(refs: DataFrame, form: str = "markdown", by: str = "doc_id") -> DataFrame:
+    """by, text: a numbered list of readable references, as Markdown or HTML."""
+    escape = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+    each = refs.select(by, "pos", reference_text().alias("t"))
+    lines = each.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("t"))
+    no = lambda i: (i + 1).cast("string")
+    if form == "markdown":
+        body = F.concat(F.lit("## References\n\n"), F.array_join(F.transform("t", lambda t, i: F.concat(no(i), F.lit(". "), t)), "\n"), F.lit("\n"))
+    else:
+        body = F.concat(F.lit('<section id="references"><h2>References</h2><ol>'), F.array_join(F.transform("t", lambda t, i: F.concat(F.lit('<li id="ref-'), no(i), F.lit('">'), escape(t), F.lit("</li>"))), ""), F.lit("</ol></section>"))
+    return lines.select(by, body.alias("text"))
