@@ -42,3 +42,28 @@ def test_inspect(spark, tmp_path):
     }
     counts = {r["doc_id"][-6:]: (r["high"], r["medium"], r["low"], r["unremovable"]) for r in privacy.count_by_severity(found, "doc_id").collect()}
     assert counts["b.pptx"] == (3, 1, 0, 1)
+
+
+def test_sanitize(spark, tmp_path):
+    from scriptorium.sources import docx, sanitize
+
+    body = '<w:p w:rsidR="00A1"><w:r><w:t>keep </w:t></w:r><w:ins><w:r><w:t>added</w:t></w:r></w:ins><w:del><w:r><w:delText>cut</w:delText></w:r></w:del><w:commentRangeStart w:id="1"/><w:r><w:rPr><w:vanish/></w:rPr><w:t>hidden</w:t></w:r><w:r><w:rPr><w:rPrChange/></w:rPr><w:t>!</w:t></w:r></w:p>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="1" Target="comments.xml"/><Relationship Id="2" Target="styles.xml"/><Relationship Id="3" Target="comments.xml" TargetMode="External"/></Relationships>'
+    types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/word/comments.xml"/><Override PartName="/word/document.xml"/></Types>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, t in {"word/document.xml": f'<w:document xmlns:w="{W}"><w:body>{body}</w:body></w:document>', "word/comments.xml": "<c/>", "word/_rels/document.xml.rels": rels, "[Content_Types].xml": types, "docProps/core.xml": "<c/>", "word/styles.xml": "<s/>"}.items():
+            z.writestr(n, t)
+    (tmp_path / "a.docx").write_bytes(out.getvalue())
+    (tmp_path / "b.doc").write_bytes(b"old")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = {r["path"][-5:]: r for r in sanitize.sanitize(files).collect()}
+    assert got["b.doc"]["error"] and got["b.doc"]["content"] is None
+    new = bytes(got[".docx"]["content"])
+    with zipfile.ZipFile(io.BytesIO(new)) as z:
+        assert sorted(z.namelist()) == ["[Content_Types].xml", "word/_rels/document.xml.rels", "word/document.xml", "word/styles.xml"]
+        assert z.read("word/_rels/document.xml.rels").count(b"<Relationship ") == 2 and b"comments" not in z.read("[Content_Types].xml")
+        text = z.read("word/document.xml")
+        assert b"<w:p>" in text and b"rsid" not in text and b"Change" not in text
+    assert [p["text"] for p in docx.paragraphs_of(docx.document(new))] == ["keep added!"]
+    assert dict(got[".docx"]["removed"])["tracked-changes"] == 3 and not list(office.facts("docx", new))
