@@ -104,3 +104,25 @@ def strip_reference_section(text: Column, headings: str) -> Column:
     """Without the reference section, from its heading to the end."""
     at = F.regexp_instr(text, F.lit(rf"(?i)\\(?:sub)*section\*?\{{\s*(?:\d+\.?\s+)?(?:{headings})\s*:?\s*\}}"))
     return F.when(at > 0, F.concat(F.rtrim(F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")), F.lit("\n"))).otherwise(text)
+
+
+AUTHOR_YEAR = r"(\([A-Z][A-Za-zÀ-ɏ.'`-]*(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-zÀ-ɏ.'`-]*)?\s*,?\s+(?:18|19|20)\d{2}[a-z]?\))"
+TEMPORARY = r"((?:\\\{[^{}]*?\\#[0-9]+[^{}]*?\\\})+)"
+_PAIR = r"([A-Z][A-Za-zÀ-ɏ.'`-]*)[^0-9]*?((?:18|19|20)\d{2})"
+
+
+def link_author_year(texts: DataFrame, index: DataFrame, *ids: str) -> DataFrame:
+    r"""Body text with '(Smith et al., 2020)' and runs of temporary citations ('\{Lee, 2004 \#78\}') as
+    \cite commands of the keys the index (surname, year, keys) has; what it lacks stays as typed."""
+
+    def resolved(matches):
+        pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(_PAIR), 1).alias("s"), F.regexp_extract_all("body", F.lit(_PAIR), 2).alias("y"))
+        each = matches.select(*ids, "c", F.posexplode(pairs).alias("k", "p"))
+        each = each.select(*ids, "c", "k", F.lower(F.regexp_replace("p.s", r"^[.,'`-]+|[.,'`-]+$", "")).alias("surname"), F.col("p.y").alias("year"))
+        found = each.join(index, ["surname", "year"]).groupBy(*ids, "c").agg(F.array_sort(F.collect_list(F.struct("k", "keys"))).alias("f"))
+        return found.select(*ids, "c", F.array_distinct(F.flatten(F.transform("f", lambda x: x["keys"]))).alias("keys"))
+
+    own = texts.select(*ids, F.lit("").alias("head"), "text")
+    for pattern in (AUTHOR_YEAR, TEMPORARY):
+        own = _rewrite(own, pattern, resolved, ids)
+    return own.select(*ids, "text")

@@ -57,3 +57,10 @@ def test_reports(spark):
     assert render.bibliography(refs).first()["bib"] == "@misc{a,\n  title = {A}\n}\n\n@misc{b,\n  title = {B <x>}\n}\n"
     assert render.reference_list(refs).first()["text"] == "## References\n\n1. A.\n2. B <x>.\n"
     assert render.reference_list(refs, "html").first()["text"] == '<section id="references"><h2>References</h2><ol><li id="ref-1">A.</li><li id="ref-2">B &lt;x&gt;.</li></ol></section>'
+
+
+def test_link_author_year(spark):
+    index = spark.createDataFrame([("smith", "2020", ["k1", "k2"]), ("lee", "2004", ["k3"])], "surname string, year string, keys array<string>")
+    texts = [(1, r"(Smith et al., 2020) (Poe, 1999) \{Lee, 2004 \#78\}\{Smith, 2020 \#9\} \{Lee, 2004 \#78\}\{Lee, 2004 \#78\}"), (2, "none")]
+    got = {r["id"]: r["text"] for r in markers.link_author_year(spark.createDataFrame(texts, "id int, text string"), index, "id").collect()}
+    assert got == {1: r"\cite{k1,k2} (Poe, 1999) \cite{k3,k1,k2} \cite{k3}", 2: "none"}
