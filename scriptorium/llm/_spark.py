@@ -14,7 +14,7 @@ _mine: list = []
 
 def bounded(spark: SparkSession) -> SparkSession:
     """Limit what one Arrow batch to Python may hold, so that long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return spark
 
 

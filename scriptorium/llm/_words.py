@@ -22,7 +22,7 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _pow = np.ones(1, U), np.ones(1, U)
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 3 << 19
 #: Of a block; so a row's number and 52 bits of a hash fit into one sort key.
 BLOCK_ROWS = 4096
 
@@ -127,6 +127,18 @@ class Words:
         return h, at, row[at]
 
 
+_model: list = [None, None]
+
+
+def cached(key, build):
+    """build(), kept in this process until another model is asked for: a worker that goes from stage to
+    stage holds one model at a time."""
+    if _model[0] != key:
+        _model[:] = None, None
+        _model[:] = key, build()
+    return _model[1]
+
+
 def run_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words from each place."""
     h = np.full(len(at), n, U) * U(0xA0761D6478BD642F)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import blocks
+from ._words import blocks, cached
 
 STRETCH = 512
 _CLASS = np.zeros(256, np.uint8)  # 0: a space
@@ -33,7 +33,6 @@ _CLASS[97:123] = np.arange(1, 27)
 _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:] = np.arange(27, 155)
 CLASSES = 155
-_models: dict = {}
 
 
 def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,11 +141,7 @@ class Model:
 
 
 def model_of(samples: dict[str, bytes]) -> Model:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    return cached(("language", tuple(sorted(samples.items()))), lambda: Model(samples))
 
 
 def fit(labelled: DataFrame, rows: int = 256, row_chars: int = 4000, sample_bytes: int = 24_000, most_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
