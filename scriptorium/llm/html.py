@@ -84,6 +84,7 @@ def read(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
     """Blocks of the page in order, without dropped elements: text, characters in links, and the open
     containers from the root."""
     out, stack, text, links, at, n, in_link = [], [], [], 0, 0, 0, 0
+    skip, depth = "", 0  # an inline element that is dropped, and how deep in equal ones
 
     def flush():
         nonlocal links
@@ -100,7 +101,7 @@ def read(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
 
     def add(raw: str):
         nonlocal links
-        if raw and not (stack and stack[-1].drop):
+        if raw and not skip and not (stack and stack[-1].drop):
             own = html.unescape(raw)
             text.append(own)
             if in_link:
@@ -113,6 +114,19 @@ def read(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
         if not tag:
             continue
         tag = tag.lower()
+        if skip:
+            if tag in BLOCK or tag in DROP_TAG:
+                skip = ""  # it was never closed
+            elif tag == skip:
+                depth += -1 if m["end"] else 1
+                if not depth:
+                    skip = ""
+                continue
+            else:
+                continue
+        elif not m["end"] and m["attrs"] and tag not in BLOCK and tag not in VOID and tag not in DROP_TAG and _open(tag, m["attrs"], None, 0).drop:
+            skip, depth = tag, 1
+            continue
         if m["end"]:
             if tag == "a":
                 in_link = max(0, in_link - 1)

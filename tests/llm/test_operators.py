@@ -294,7 +294,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <main><article class="post p12 has-sidebar"><h1>Title &amp; more</h1><p>First   para &lt;graph
  with <b>bold<br>break</b><p>Second &eacute;&#233;&#x41;<script>var x="</p>";</script> end
 <ul><li>item one<li>item two</ul><aside>side</aside><form><input value=q><p>form text</p></form>
-<div class="ad-slot">buy</div><table><tr><td>c1<td>c2</table></article>
+<div class="ad-slot">buy</div><p><span class="advert">Buy <span>now</span> cheap</span><ins class=adsbygoogle>x<p>&#x2014; third <span class="share-links">un closed</p><table><tr><td>c1<td>c2</table></article>
 <section class="comments"><article class="comment"><p>A reader says very much about this article, on and on and on</p></article></section></main>
 <footer><p>foot</p></footer></body>"""
 
@@ -305,7 +305,7 @@ def test_html(spark):
     got = [r.asDict() for r in html.main_text(pages).collect()]
     assert len(got) == 7
     by = {r["page_id"]: r for r in got}
-    want = "Title & more\nFirst para <graph with bold break\nSecond ééA end\nitem one\nitem two\nc1\nc2"
+    want = "Title & more\nFirst para <graph with bold break\nSecond ééA end\nitem one\nitem two\n— third\nc1\nc2"
     assert by[1]["text"] == want and by[1]["n_chars"] == len(want)
     assert by[2]["text"] == want.replace("First", "Other") and by[2]["path"] == by[1]["path"]
     assert by[3]["text"] == by[4]["text"] == "" and by[5]["text"] == "plain & text" and by[6]["text"] == "un closed ©"

@@ -74,3 +74,29 @@ def test_packing(stages):
     assert {r["doc_id"] for r in rows[5]} == {r["doc_id"] for r in rows[4]}
     used = check_packing(rows[5], 1024)
     assert used <= 1.05 * sum(r["length"] for r in rows[5]) / 1024 + 1
+
+
+def test_odd_input(spark, sf):
+    """Nulls in any column, empty and repeated rows, clashing extra columns, and an empty table."""
+    from pyspark.sql import functions as F
+
+    from .test_operators import DOCS, texts
+
+    rows = [(i, t, None if i % 4 else "en", None, None) for i, t in enumerate(texts())] + [(None, "a b c", "en", "s", 1), (None, None, None, None, None), (2, texts()[2], "en", "s", 1), (2, texts()[2], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for name in ("score", "lang_pred", "rep", "kept", "starts", "grp", "n_words", "_gone", "length", "piece", "_id"):
+        docs = docs.withColumn(name, F.lit("x"))
+    columns = docs.columns
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        docs = written(stage(spark, docs, sf))
+        if k < len(pipeline.STAGES) - 1:
+            assert docs.columns == columns
+            ids = [r[0] for r in docs.select("doc_id").collect()]
+            assert ids.count(None) == 1  # the other has no letter
+            if k:
+                assert len(set(ids)) == len(ids)
+    assert {r["doc_id"] for r in docs.collect()} == set(ids)
+    none = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        none = written(stage(spark, none, sf))
+        assert none.count() == 0
