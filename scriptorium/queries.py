@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions import text as T
-from .operators import groups, keys, markers, matching, privacy, render, structure, validation
+from .operators import groups, keys, markers, matching, privacy, render, structure, titlepage, validation
 from .plans.views import joined, sql, view
 from .sources import references
 from .streaming import limits
@@ -522,3 +522,42 @@ def q50_recent_sessions(spark, sf_dir):
     """A top-k report: the 32 clients seen last."""
     out = limits.least_recent_out(_accesses(spark, sf_dir), 32)
     return out.select("key", F.unix_micros(F.col("last").cast("timestamp")).alias("last_us"))
+
+
+@query(sql("citations", "library") + f""",\n{_BASE}, m AS (SELECT doc_id, place, part % 60 AS n FROM citations)
+SELECT doc_id, string_agg(coalesce('\\cite{{' || key || '}}', '{{[}}' || n || '{{]}}'), ' and ' ORDER BY place) AS text FROM m LEFT JOIN (SELECT pos AS n, key FROM lib WHERE pos < 40) USING (n) GROUP BY doc_id""")
+def q51_link_body(spark, sf_dir):
+    c = view(spark, sf_dir, "citations")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("place", (F.col("part") % 60).alias("n")))), lambda x: F.concat(F.lit("{[}"), x["n"].cast("string"), F.lit("{]}")))
+    texts = c.groupBy("doc_id").agg(F.array_join(each, " and ").alias("text"))
+    numbered = keyed_library(spark, sf_dir).where("pos < 40").select(F.col("pos").cast("int").alias("number"), "pos", "key")
+    return markers.link_numeric(texts, numbered, "doc_id")
+
+
+_PAGES = """SELECT c_custkey AS doc_id, pos, IF(pos = 1, 'Title', 'Normal') AS style_id, 20 AS font_size,
+  CASE pos WHEN 0 THEN array(named_struct('text', ' ', 'superscript', false)) WHEN 1 THEN array(named_struct('text', c_name, 'superscript', false))
+  WHEN 2 THEN array(named_struct('text', 'Ann ' || c_mktsegment, 'superscript', false), named_struct('text', CAST(c_custkey % 2 + 1 AS STRING) || ',*', 'superscript', true), named_struct('text', ' and Bo', 'superscript', false), named_struct('text', CAST(c_nationkey % 3 + 1 AS STRING), 'superscript', true))
+  ELSE array(named_struct('text', 'Place ' || CAST(pos AS STRING), 'superscript', false)) END AS segments FROM {customer} LATERAL VIEW explode(array(0, 1, 2, 3, 4, 5)) p AS pos"""
+
+
+@query("""WITH a AS (SELECT c_custkey AS doc_id, c_name AS title, [c_custkey % 2 + 1, c_nationkey % 3 + 1] AS m, c_mktsegment FROM customer), n AS (SELECT *, len(list_distinct(m)) AS n FROM a)
+SELECT doc_id, title, 'Ann ' || c_mktsegment AS name, true AS corresponding, CASE WHEN m[1] <= n THEN CAST(m[1] - 1 AS VARCHAR) ELSE '' END AS affiliations FROM n
+UNION ALL SELECT doc_id, title, 'Bo', false, CASE WHEN m[2] <= n THEN CAST(m[2] - 1 AS VARCHAR) ELSE '' END FROM n""")
+def q52_title_page(spark, sf_dir):
+    p = spark.sql(_PAGES, customer=table(spark, sf_dir, "customer"))
+    p = p.withColumn("text", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    titles = titlepage.titles(p)
+    people = titlepage.authors(p, titles)
+    linked = titlepage.link(people, titlepage.affiliations(p, people))
+    return linked.join(titles.select("doc_id", "title"), "doc_id").select("doc_id", "title", "name", "corresponding", joined(F.col("affiliations")).alias("affiliations"))
+
+
+@query(sql("library") + f",\n{_VALID} SELECT 'Checked ' || count(*) || ' reference(s): ' || count(*) FILTER (status = 'verified') || ' verified, ' || count(*) FILTER (status = 'mismatch') || ' field mismatch, ' || count(*) FILTER (status = 'dead_doi') || ' dead DOI, ' || count(*) FILTER (status = 'unverifiable') || ' unverifiable.' AS line FROM records")
+def q53_validation_summary(spark, sf_dir):
+    return render.validation_summary(_validated(spark, sf_dir).select("status", F.lit(1).alias("doc_id"))).select("line")
+
+
+@query(sql("library") + f""",\n{_BASE} SELECT pos % 50 AS doc_id, '## References' || chr(10) || chr(10) || string_agg(CAST(r AS VARCHAR) || '. ' || t, chr(10) ORDER BY pos) || chr(10) AS text FROM
+  (SELECT pos, row_number() OVER (PARTITION BY pos % 50 ORDER BY pos) AS r, family || ', ' || given[1] || '. (' || year || ') ' || title || '. ' || container || ', ' || volume || '(' || issue || '), ' || pages || '.' || coalesce(' https://doi.org/' || doi, '') AS t FROM lib) GROUP BY 1""")
+def q54_reference_list(spark, sf_dir):
+    return render.reference_list(rendered_library(spark, sf_dir).withColumn("doc_id", F.col("pos") % 50))
