@@ -42,7 +42,9 @@ CONTAINER = frozenset("article body div main section td blockquote center html".
 DROP_TAG = frozenset("nav header footer aside form button select option menu dialog head input label datalist fieldset".split())
 DROP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
 _WORDS = "ads?|advert(?:s|isement|isements|ising)?|adsbygoogle|sponsor(?:ed)?|promo(?:tion|ted)?|banner|sidebars?|side-?bar|menus?|nav(?:bar|igation)?|breadcrumbs?|page-?header|site-?header|header|masthead|page-?footer|site-?footer|footer|comments?|commentlist|discussion|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|notification|alert|warning-bar|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations)?|read-more|widgets?|toolbar|pagination|pager|search|paywall|copyright|hidden|visually-hidden|sr-only|screen-reader-text"
-_JUNK = re.compile(rf"(?:{_WORDS})(?:[-_].*)?|(?!(?:has|with|no|without|is)[-_]).*[-_](?:{_WORDS})", re.I)
+#: A class or id is junk if it begins with such a word, or ends with one and doesn't say "with" it.
+_JUNK_HEAD = re.compile(rf"(?:{_WORDS})(?:[-_].*)?", re.I)
+_JUNK = re.compile(rf"{_JUNK_HEAD.pattern}|(?!(?:.*[-_])?(?:has|with|no|without|is|and)[-_]).*[-_](?:{_WORDS})", re.I)
 #: An opening tag closes these open ones on its way to a limit.
 _CLOSES = {"li": ("li", {"ul", "ol", "menu"}), "dd": ("dd dt", {"dl"}), "dt": ("dd dt", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
 _CLOSES = {k: (frozenset(a.split()), b) for k, (a, b) in _CLOSES.items()}
@@ -75,7 +77,8 @@ def _open(tag: str, attrs: str, parent: Element | None, no: int) -> Element:
             elif name == "style":
                 drop |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         if tag not in ("html", "body", "main"):
-            drop |= any(_JUNK.fullmatch(x) for x in junk)
+            pattern = _JUNK_HEAD if tag == "article" else _JUNK
+            drop |= any(pattern.fullmatch(x) for x in junk)
     path = f"{parent.path}>{tag}{classes}" if parent and parent.path else tag + classes
     return Element(tag, path, drop or bool(parent and parent.drop), no)
 

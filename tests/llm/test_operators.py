@@ -291,7 +291,7 @@ def test_packing_plan():
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home menu-open">
 <header><p>Site header text that is long enough</p></header><nav><ul><li><a href=x>One</a><li>Two</ul></nav>
 <div id="cookie-notice"><p>We use cookies on this long and boring page</p></div>
-<main><article class="post p12 has-sidebar"><h1>Title &amp; more</h1><p>First   para &lt;graph
+<main><div class="page-with-sidebar"><article class="post p12 has-sidebar post-comments"><h1>Title &amp; more</h1><p>First   para &lt;graph
  with <b>bold<br>break</b><p>Second &eacute;&#233;&#x41;<script>var x="</p>";</script> end
 <ul><li>item one<li>item two</ul><aside>side</aside><form><input value=q><p>form text</p></form>
 <div class="ad-slot">buy</div><p><span class="advert">Buy <span>now</span> cheap</span><ins class=adsbygoogle>x<p>&#x2014; third <span class="share-links">un closed</p><table><tr><td>c1<td>c2</table></article>
