@@ -561,3 +561,13 @@ def q53_validation_summary(spark, sf_dir):
   (SELECT pos, row_number() OVER (PARTITION BY pos % 50 ORDER BY pos) AS r, family || ', ' || given[1] || '. (' || year || ') ' || title || '. ' || container || ', ' || volume || '(' || issue || '), ' || pages || '.' || coalesce(' https://doi.org/' || doi, '') AS t FROM lib) GROUP BY 1""")
 def q54_reference_list(spark, sf_dir):
     return render.reference_list(rendered_library(spark, sf_dir).withColumn("doc_id", F.col("pos") % 50))
+
+
+@query(sql("library") + " SELECT pos, title, year, container, coalesce(doi, '') AS doi, family, CASE WHEN pos % 2 = 0 THEN 'incollection' ELSE 'article' END AS entry_type FROM library")
+def q55_parse_works(spark, sf_dir):
+    lib = view(spark, sf_dir, "library")
+    date = F.struct(F.array(F.array(F.col("year").cast("int"), F.lit(3))).alias("date-parts"))
+    kind = F.when(F.col("pos") % 2 == 0, "book-chapter").otherwise("journal-article")
+    work = F.struct(F.array(F.concat(F.lit("<i>"), "title", F.lit("</i>  "))).alias("title"), F.array("container").alias("container-title"), F.array(F.struct("family", "given")).alias("author"), F.col("doi").alias("DOI"), kind.alias("type"), F.when(F.col("pos") % 3 == 0, date).alias("issued"), date.alias("created"))
+    got = references.parse_works(lib.select(F.col("pos").alias("doc_id"), F.to_json(work).alias("text")))
+    return got.select(F.col("doc_id").cast("long").alias("pos"), "title", "year", "container", "doi", F.col("authors")[0]["family"].alias("family"), "entry_type")

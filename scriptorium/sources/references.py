@@ -358,3 +358,20 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     texts = files.select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("text"), kind.alias("kind"))
     return parse(texts.where("kind <> 'json'"), F.col("kind")).unionByName(parse_csl_json(texts.where("kind = 'json'")))
+
+
+_DATES = ("issued", "published-print", "published-online", "published", "created")
+_WORK = "title array<string>, `container-title` array<string>, `short-container-title` array<string>, author array<struct<family:string,given:string,name:string>>, publisher string, volume string, issue string, page string, DOI string, URL string, type string, " + ", ".join(f"`{d}` struct<`date-parts`:array<array<string>>>" for d in _DATES)
+
+
+def parse_works(texts: DataFrame) -> DataFrame:
+    """doc_id, text (one work of a registry as JSON) -> a candidate record, by built-in functions: the
+    first of each list, markup stripped; the year of the first date that has one; null for no object."""
+    w = F.from_json("text", f"struct<{', '.join(_as_struct(_WORK))}>")
+    rows = texts.where(F.startswith(F.ltrim("text"), F.lit("{"))).select("doc_id", w.alias("w"))
+    c = F.col("w")
+    first = lambda name: F.nullif(T.strip_markup(F.get(c[name], F.lit(0))), F.lit(""))
+    year = F.coalesce(*(F.nullif(F.regexp_extract(F.coalesce(F.get(F.get(c[d]["date-parts"], F.lit(0)), F.lit(0)), F.lit("")), r"\d{4}", 0), F.lit("")) for d in _DATES))
+    authors = F.filter(F.transform(F.coalesce(c["author"], F.array().cast("array<struct<family:string,given:string,name:string>>")), lambda a: N.name(F.trim(a["family"]), F.trim(a["given"]), F.trim(a["name"]))), lambda n: F.concat(n["family"], n["given"], n["literal"]) != "")
+    plain = lambda name: T.clean(c[name])
+    return rows.select(F.col("doc_id").cast("string"), first("title").alias("title"), authors.alias("authors"), year.alias("year"), T.normalize_doi(c["DOI"]).alias("doi"), first("container-title").alias("container"), first("short-container-title").alias("short"), plain("publisher").alias("publisher"), plain("volume").alias("volume"), plain("issue").alias("issue"), plain("page").alias("pages"), plain("URL").alias("url"), T.crossref_type_to_bibtex(c["type"]).alias("entry_type"))
