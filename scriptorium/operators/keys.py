@@ -66,8 +66,11 @@ def merge_refs(base: DataFrame, new: DataFrame) -> DataFrame:
     fresh = fresh.withColumn("_need", F.col("_n") - F.when(F.col("_taken").isNull(), 1).otherwise(0))
     need = fresh.groupBy("first_key").agg(F.max("_need").alias("most")).where("most > 0")
     used = taken.union(new.select("key")).distinct()
-    spare = need.join(used.select(F.col("key").alias("_k")), F.expr("startswith(_k, first_key) and length(_k) > length(first_key) and first_key = regexp_replace(_k, '(z*[a-z])$', '')"), "left").groupBy("first_key", "most").agg(F.count("_k").alias("_near"))
-    free = spare.select("first_key", "most", F.explode(F.sequence(F.lit(0), F.col("most") + F.col("_near") + 26)).alias("_i"))
+    # every way to read a taken key as another key and a suffix: at most that many suffixes are gone
+    tail = F.length(F.regexp_extract("key", "(z*)[a-z]$", 1))
+    stems = used.where(F.rlike("key", F.lit("[a-z]$"))).select(F.explode(F.transform(F.sequence(F.lit(0), tail), lambda i: F.left("key", F.length("key") - 1 - i))).alias("_stem")).groupBy("_stem").count()
+    spare = need.join(stems, need["first_key"] == stems["_stem"], "left").select("first_key", "most", F.coalesce("count", F.lit(0)).cast("int").alias("_near"))
+    free = spare.select("first_key", "most", F.explode(F.sequence(F.lit(0), F.col("most") + F.col("_near"))).alias("_i"))
     free = free.withColumn("_free", F.concat("first_key", T.suffix(F.col("_i")))).join(used, F.col("_free") == used["key"], "left_anti")
     free = free.withColumn("_need", F.row_number().over(Window.partitionBy("first_key").orderBy("_i"))).where("_need <= most").select(F.col("first_key").alias("_fk"), "_need", "_free")
     final = fresh.join(free, (fresh["first_key"] == free["_fk"]) & (fresh["_need"] == free["_need"]), "left").select("identity", F.coalesce("_free", "first_key").alias("new_key"), "first_pos")
