@@ -270,8 +270,7 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([sorted(x) for x, _ in found.values()], pa.list_(pa.int64())), pa.array([x for _, x in found.values()], pa.bool_())], names=["a", "others", "cut"])
 
     forest = _forest(reps, trees)
-    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = forest.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+    ordered = forest.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     if not most:
         return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
     lists = ordered.mapInArrow(run, "a bigint, others array<bigint>, cut boolean")
