@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import discard, released, written
-from ._words import U, Words, _powers, blocks, mix, run_hash
+from ._words import BLOCK_BYTES, U, Words, _powers, blocks, mix, run_hash
 
 GRAM = 4
 
@@ -307,13 +307,22 @@ def _answer(window: int):
             code = np.empty(len(k1), np.int64)
             code[order] = np.cumsum(new) - 1
             owner, top = np.minimum.reduceat(lo[order], first), order[first]
-            # the texts of the distinct segments, one after the other
+            # the words of the distinct segments, hashed in blocks: only their hashes are kept
             off = np.concatenate([[0], np.cumsum(sizes)])
             n = sizes[top]
-            take = np.repeat(off[top], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            w = Words(data[take], np.concatenate([[0], np.cumsum(n)]))
-            least = first_documents(w.hash, w.first, owner, window)
-            count = np.maximum(0, np.diff(w.first) - window + 1)
+            ends, hashes, bounds, i = np.concatenate([[0], np.cumsum(n)]), [], [np.zeros(1, np.int64)], 0
+            while i < len(top):
+                j = min(len(top), max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK_BYTES, "right")) - 1))
+                own = n[i:j]
+                take = np.repeat(off[top[i:j]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                w = Words(data[take], ends[i : j + 1] - ends[i])
+                hashes.append(w.hash)
+                bounds.append(w.first[1:] + bounds[-1][-1])
+                i = j
+            del data, take, w
+            hashes, bounds = np.concatenate(hashes), np.concatenate(bounds)
+            least = first_documents(hashes, bounds, owner, window)
+            count = np.maximum(0, np.diff(bounds) - window + 1)
             begin = np.concatenate([[0], np.cumsum(count)])
             smallest = np.minimum.reduceat(least, begin[:-1])  # every segment has a window
             wanted = (hi > lo) | (smallest[code] < lo)
