@@ -11,8 +11,9 @@ region's hub. Pairs whose signatures already rule a link out are dropped. In a f
 gives just the candidates that would join its members (a hub, the row most like the others, comes
 first in large ones). In later rounds, with the components known, members that are still apart give
 all their pairs in a small region and their likeliest ones in a large one; those with more search on,
-for twice as many each round, until none is left or a round finds no link. So the candidates of a document don't grow with its group. Every
-candidate is confirmed on the full sets of the whole texts.
+for more each round, until no list is cut short. So the candidates of a document grow with its group
+only while it stays apart from members that it may be like. Every candidate is confirmed on the full
+sets of the whole texts.
 
 A pair exactly at the threshold is in no common region with a probability under ``miss``.
 
@@ -38,7 +39,8 @@ from .components import components
 DEPTH, MIN_DEPTH, REGION = 4, 3, 48
 #: MinHash values a similarity is estimated from; those beyond the trees' are kept as a byte each.
 ESTIMATE = 128
-#: Others that a row of a large region lists in the second round; later rounds double it.
+#: Others that a row of a large region lists in the second round; later rounds double it, or take
+#: eight times as many if a round finds no link.
 FIRST_LIST = 32
 U = np.uint64
 
@@ -141,8 +143,8 @@ class _Rows:
 
 class _Search:
     """Candidate pairs in regions. most 0: pairs that would join what a window holds, in ``out``.
-    Otherwise of each searching row those of other components, in a large region the likeliest ones
-    but for those of the round before (``most`` / 2), in ``lists`` as (row, others, cut short)."""
+    Otherwise of each searching row those of other components, in a large region the ``most``
+    likeliest ones, in ``lists`` as (row, others, cut short)."""
 
     def __init__(self, low: float, share: float, most: int):
         self.low, self.share, self.first, self.most, self.out, self.lists = low, share, not most, most, [], []
@@ -188,22 +190,20 @@ class _Search:
             self.windows(r)
 
     def apart(self, r: _Rows) -> None:
-        """Searching rows outside the region's largest component, against all of the region."""
+        """Searching rows against all of the region. In the second round, when all rows search,
+        those of the region's largest component needn't: the other end of each pair does."""
         _, group, size = np.unique(r.comp, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero((group != size.argmax()) & r.search)
+        rest = np.flatnonzero(r.search if self.most > FIRST_LIST else (group != size.argmax()) & r.search)
         for i in range(0, len(rest), 32):
             own = rest[i : i + 32]
             like = np.concatenate([(r.small[own][:, None, :] == r.small[None, j : j + 2048, :]).mean(2) for j in range(0, len(r.ids), 2048)], 1)
             like[np.minimum.outer(r.n[own], r.n) < self.share * np.maximum.outer(r.n[own], r.n) - 1e-9] = 0
             like[np.arange(len(own)), own] = 0
             for x, row in zip(own, like):
-                found = np.flatnonzero(row >= self.low)
-                found = found[np.argsort(-row[found], kind="stable")]
-                cut = len(found) > self.most
-                found = found[self.most // 2 if self.most > FIRST_LIST else 0 : self.most]
-                found = found[group[found] != group[x]]
-                if len(found) or cut:
-                    self.lists.append((r.ids[x], r.ids[found], cut))
+                found = np.flatnonzero((row >= self.low) & (group != group[x]))
+                if len(found):
+                    found = found[np.argsort(-row[found], kind="stable")]
+                    self.lists.append((r.ids[x], r.ids[found[: self.most]], len(found) > self.most))
 
     @staticmethod
     def hub(r: _Rows) -> int:
@@ -270,6 +270,10 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([sorted(x) for x, _ in found.values()], pa.list_(pa.int64())), pa.array([x for _, x in found.values()], pa.bool_())], names=["a", "others", "cut"])
 
     forest = _forest(reps, trees)
+    if most > FIRST_LIST:  # few rows search on: only their regions
+        region = F.substring("key", 1, 1 + 4 * MIN_DEPTH)
+        wanted = written(_forest(reps.where("search"), trees).select(region.alias("_r")).distinct())
+        forest = forest.join(wanted, region == wanted["_r"], "left_semi")
     ordered = forest.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     if not most:
         return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
@@ -321,22 +325,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     while True:
         so_far = components(links)
         again = reps.join(so_far, reps["rep"] == so_far["id"], "left")
-        if left is not None:  # only rows whose lists were cut short search on, and only rows seen in any list can be found
-            seen = tried.select(F.col("a").alias("_s")).union(tried.select("b")).distinct()
-            again = again.join(seen, again["rep"] == seen["_s"], "left_semi").join(left.select(F.col("a").alias("_l")), F.col("rep") == F.col("_l"), "left")
+        if left is not None:  # only rows whose lists were cut short search on
+            again = again.join(left.select(F.col("a").alias("_l")), F.col("rep") == F.col("_l"), "left")
         search = F.lit(True) if left is None else F.col("_l").isNotNull()
         lists = written(candidates(again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), search.alias("search"), "sig", "small"), trees, share, most))
         pairs = lists.select("a", F.explode("others").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(pairs.join(tried, ["a", "b"], "left_anti"))
         new = written(_confirm(more, texts, shingle, percent))
-        left = lists.where("cut")
-        if not new.limit(1).count():
-            break
-        links, tried, most = links.union(new), tried.union(more), 2 * most
+        left, linked = lists.where("cut"), bool(new.limit(1).count())
+        links, tried, most = links.union(new), tried.union(more), most * (2 if linked else 8)
         if not left.limit(1).count():
-            so_far = components(links)
             break
         released(docs.sparkSession)
+    if linked:
+        so_far = components(links)
     heads = reps.select("p1", "p2", F.col("n_shingles").alias("n"), "rep")
     joined = written(copies.join(heads, ["p1", "p2", "n"]).select("doc_id", "rep"))
     # an id that repeats with several texts ties their representatives

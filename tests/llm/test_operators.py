@@ -160,6 +160,25 @@ def test_near_duplicates_large_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(items, 3, 85)
 
 
+def test_near_duplicates_tied_groups(spark):
+    """Two large groups in common regions, tied by one pair: each member has more likely others in
+    its own group than a list holds."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    places = [10 + 24 * k for k in range(12)]
+    other = [f"v{i}" if i in places else w for i, w in enumerate(base)]
+    between = [f"v{i}" if i in places[:4] else w for i, w in enumerate(base)]
+    free = [i for i in range(4, 296) if all(abs(i - p) > 5 for p in places)]
+    items = [(0, " ".join(other)), (1, " ".join(between))]
+    for i in range(2, 300):
+        own = list(base if i < 200 else other)
+        own[rng.choice(free)] = f"x{i}"
+        items.append((i, " ".join(own)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(items, "doc_id bigint, text string"), 3, 85).collect()
+    want = brute_components(items, 3, 85)
+    assert {c for _, c in want.values()} == {0} and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_near_duplicates_repeated_id(spark):
     rows = [(1, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (2, " ".join(f"b{i}" for i in range(30))), (3, " ".join(f"a{i}" for i in range(30)))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
