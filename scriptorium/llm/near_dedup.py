@@ -12,8 +12,9 @@ gives just the candidates that would join its members (a hub, the row most like
 first in large ones). In later rounds, with the components known, members that are still apart give
 all their pairs in a small region and their likeliest ones in a large one; those with more search on,
 for more each round, until no list is cut short. So the candidates of a document grow with its group
-only while it stays apart from members that it may be like. Every candidate is confirmed on the full
-sets of the whole texts.
+only while it stays apart from members that it may be like. Then a region is a key, and always whole:
+one of more than BLOCK rows is dealt into blocks, and every two blocks meet. Every candidate is
+confirmed on the full sets of the whole texts.
 
 A pair exactly at the threshold is in no common region with a probability under ``miss``.
 
@@ -42,6 +43,10 @@ ESTIMATE = 128
 #: Others that a row of a large region lists in the second round; later rounds double it, or take
 #: eight times as many if a round finds no link.
 FIRST_LIST = 32
+#: From the second round on, rows of a region that meet in one place; a larger region is dealt out.
+BLOCK = 4096
+#: Others in the lists of one Arrow batch, about.
+HELD = 1 << 18
 U = np.uint64
 
 
@@ -126,12 +131,17 @@ def _forest(reps: DataFrame, trees: int) -> DataFrame:
 
 class _Rows:
     """Rows of a stretch of the sorted order; ``comp``: the component so far; ``search``: the row
-    still looks for others."""
+    still looks for others; ``side``: 1 or 2 where two blocks of a region meet, else 0."""
 
-    NAMES = ("ids", "n", "comp", "search", "key", "small")
+    NAMES = ("ids", "n", "comp", "search", "key", "small", "side")
 
-    def __init__(self, ids, n, comp, search, key, small):
-        self.ids, self.n, self.comp, self.search, self.key, self.small = ids, n, comp, search, key, small
+    def __init__(self, ids, n, comp, search, key, small, side):
+        self.ids, self.n, self.comp, self.search, self.key, self.small, self.side = ids, n, comp, search, key, small, side
+
+    @staticmethod
+    def of(b: pa.RecordBatch):
+        side = np.asarray(b.column(6)) if b.num_columns > 6 else np.zeros(len(b), np.int32)
+        return _Rows(*(np.asarray(b.column(k)) for k in range(4)), _matrix(b.column(4)), _matrix(b.column(5)), side)
 
     def take(self, at):
         return _Rows(*(getattr(self, x)[at] for x in self.NAMES))
@@ -144,10 +154,11 @@ class _Rows:
 class _Search:
     """Candidate pairs in regions. most 0: pairs that would join what a window holds, in ``out``.
     Otherwise of each searching row those of other components, in a large region the ``most``
-    likeliest ones, in ``lists`` as (row, others, cut short)."""
+    likeliest ones, in ``lists`` as (row, others, cut short); ``held``: how many others."""
 
     def __init__(self, low: float, share: float, most: int):
         self.low, self.share, self.first, self.most, self.out, self.lists = low, share, not most, most, [], []
+        self.held = 0
 
     def window(self, r: _Rows, hubs: int = 0) -> None:
         """Up to REGION rows or so; the first ``hubs`` of them come first in any case."""
@@ -173,8 +184,6 @@ class _Search:
         if m <= REGION:
             if m > 1:
                 self.window(r)
-        elif not self.first:
-            self.apart(r)
         elif depth < DEPTH:
             k = 1 + 4 * (depth + 1)
             cut = np.flatnonzero((r.key[1:, :k] != r.key[:-1, :k]).any(1)) + 1
@@ -189,21 +198,26 @@ class _Search:
         else:
             self.windows(r)
 
-    def apart(self, r: _Rows) -> None:
-        """Searching rows against all of the region. In the second round, when all rows search,
-        those of the region's largest component needn't: the other end of each pair does."""
+    def apart(self, r: _Rows):
+        """Searching rows against all of the region, or those of the other block; stops now and then
+        for the lists to be taken. In the second round, when all rows search, those of the largest
+        component here needn't: the other end of each pair does."""
         _, group, size = np.unique(r.comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(r.search if self.most > FIRST_LIST else (group != size.argmax()) & r.search)
-        for i in range(0, len(rest), 32):
-            own = rest[i : i + 32]
-            like = np.concatenate([(r.small[own][:, None, :] == r.small[None, j : j + 2048, :]).mean(2) for j in range(0, len(r.ids), 2048)], 1)
-            like[np.minimum.outer(r.n[own], r.n) < self.share * np.maximum.outer(r.n[own], r.n) - 1e-9] = 0
-            like[np.arange(len(own)), own] = 0
-            for x, row in zip(own, like):
-                found = np.flatnonzero((row >= self.low) & (group != group[x]))
-                if len(found):
-                    found = found[np.argsort(-row[found], kind="stable")]
-                    self.lists.append((r.ids[x], r.ids[found[: self.most]], len(found) > self.most))
+        for side in (1, 2) if r.side.any() else (0,):
+            mine, pool = rest[r.side[rest] == side], np.flatnonzero(r.side == (3 - side if side else 0))
+            small, n = r.small[pool], r.n[pool]
+            for i in range(0, len(mine) if len(pool) else 0, 32):
+                own = mine[i : i + 32]
+                like = np.concatenate([(r.small[own][:, None, :] == small[None, j : j + 2048, :]).mean(2) for j in range(0, len(pool), 2048)], 1)
+                like[np.minimum.outer(r.n[own], n) < self.share * np.maximum.outer(r.n[own], n) - 1e-9] = 0
+                for x, row in zip(own, like):
+                    found = np.flatnonzero((row >= self.low) & (group[pool] != group[x]))
+                    if len(found):
+                        found = found[np.argsort(-row[found], kind="stable")]
+                        self.lists.append((r.ids[x], r.ids[pool[found[: self.most]]], len(found) > self.most))
+                        self.held += min(len(found), self.most)
+                yield
 
     @staticmethod
     def hub(r: _Rows) -> int:
@@ -222,38 +236,51 @@ class _Search:
                 self.window(r.take(at), 1)
 
 
-def candidates(reps: DataFrame, trees: int, share: float, most: int = 0) -> DataFrame:
+def _region() -> F.Column:
+    return F.substring("key", 1, 1 + 4 * MIN_DEPTH)
+
+
+def _regions(reps: DataFrame, trees: int) -> DataFrame:
+    """The region of each row of the forest."""
+    return _forest(reps.withColumn("small", F.lit(bytearray())), trees).select(_region().alias("_r"))
+
+
+def large_regions(reps: DataFrame, trees: int) -> DataFrame:
+    """_r, parts: the regions of over BLOCK rows and the number of their blocks."""
+    size = _regions(reps, trees).groupBy("_r").count().where(F.col("count") > BLOCK)
+    return size.select("_r", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+
+
+def candidates(reps: DataFrame, trees: int, share: float, most: int = 0, large: DataFrame | None = None) -> DataFrame:
     """most 0: pairs a < b that may be links, once each. Otherwise a, others (array, once each), cut:
-    see _Search. reps: id, n, comp, search, sig, small. A link is ruled out if the estimate is four
-    standard deviations under the threshold."""
+    see _Search. reps: id, n, comp, search, sig, small. large: the regions to deal into blocks. A link
+    is ruled out if the estimate is four standard deviations under the threshold."""
     low = share - 4 * math.sqrt(share * (1 - share) / max(trees * DEPTH, ESTIMATE))
+    wide = 1 + 4 * MIN_DEPTH if not most or large is None else 1 + 4 * MIN_DEPTH + 8
+
+    def bounds(rows):
+        return np.concatenate([[0], np.flatnonzero((rows.key[1:, :wide] != rows.key[:-1, :wide]).any(1)) + 1, [len(rows.ids)]])
+
+    def pairs_of_two(rows, cut):
+        two = cut[:-1][np.diff(cut) == 2]
+        like = (rows.small[two] == rows.small[two + 1]).mean(1)
+        x, y = rows.n[two], rows.n[two + 1]
+        ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9) & (rows.comp[two] != rows.comp[two + 1])
+        ok &= rows.search[two] | rows.search[two + 1]
+        return rows.ids[two][ok], rows.ids[two + 1][ok]
 
     def run(batches):
         kept = None  # the end of the last stretch, whose region may go on
-        wide = 1 + 4 * MIN_DEPTH
         for b in batches:
-            n = len(b)
-            if not n:
+            if not len(b):
                 continue
-            rows = _Rows(*(np.asarray(b.column(k)) for k in range(4)), _matrix(b.column(4)), _matrix(b.column(5)))
+            rows = _Rows.of(b)
             if kept is not None:
                 rows = _Rows.join([kept, rows])
-            n, search = len(rows.ids), _Search(low, share, most)
-            cut = np.concatenate([[0], np.flatnonzero((rows.key[1:, :wide] != rows.key[:-1, :wide]).any(1)) + 1, [n]])
-            size = np.diff(cut)
-            two = cut[:-1][size == 2]
-            if len(two):
-                like = (rows.small[two] == rows.small[two + 1]).mean(1)
-                x, y = rows.n[two], rows.n[two + 1]
-                ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9) & (rows.comp[two] != rows.comp[two + 1])
-                ok &= rows.search[two] | rows.search[two + 1]
-                if most:
-                    search.lists.extend((i, [j], False) for i, j in zip(rows.ids[two][ok], rows.ids[two + 1][ok]))
-                else:
-                    search.out.extend(zip(rows.ids[two][ok], rows.ids[two + 1][ok]))
-            for k in np.flatnonzero(size > 2):
-                if rows.search[cut[k] : cut[k + 1]].any():
-                    search.region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH)
+            n, search, cut = len(rows.ids), _Search(low, share, 0), bounds(rows)
+            search.out.extend(zip(*pairs_of_two(rows, cut)))
+            for k in np.flatnonzero(np.diff(cut) > 2):
+                search.region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH)
             last = np.arange(cut[-2], n)  # a large region goes on with its hub and its last rows
             if len(last) > REGION:
                 last = np.unique(np.concatenate([last[[search.hub(rows.take(last))]], last[1 - REGION :]]))
@@ -261,23 +288,65 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0) -> Data
             if search.out:
                 pairs = np.unique(np.sort(np.array(search.out, np.int64), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def stretches(batches):
+        """Rows of whole regions: one that goes on in the next batch waits for it."""
+        kept = None
+        for b in batches:
+            if len(b):
+                rows = _Rows.of(b)
+                if kept is not None:
+                    rows = _Rows.join([kept, rows])
+                last = bounds(rows)[-2]
+                if last:
+                    yield rows.take(slice(0, last))
+                kept = rows.take(slice(last, None))
+        if kept is not None:
+            yield kept
+
+    def run_whole(batches):
+        search = _Search(low, share, most)
+
+        def taken():
+            lists, search.lists, search.held = search.lists, [], 0
+            off = np.concatenate([[0], np.cumsum([len(x) for _, x, _ in lists])]).astype(np.int32)
+            others = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([x for _, x, _ in lists]).astype(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in lists], pa.int64()), others, pa.array([c for _, _, c in lists], pa.bool_())], names=["a", "others", "cut"])
+
+        for rows in stretches(batches):
+            cut = bounds(rows)
+            search.lists.extend((i, np.array([j]), False) for i, j in zip(*pairs_of_two(rows, cut)))
+            for k in np.flatnonzero(np.diff(cut) > 2):
+                own = rows.take(slice(cut[k], cut[k + 1]))
+                if not own.search.any():
+                    continue
+                if len(own.ids) <= REGION:
+                    search.window(own)
+                else:
+                    for _ in search.apart(own):
+                        if search.held > HELD:
+                            yield taken()
             if search.lists:
-                found: dict[int, list] = {}
-                for i, others, short in search.lists:
-                    own = found.setdefault(int(i), [set(), False])
-                    own[0].update(map(int, others))
-                    own[1] |= short
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([sorted(x) for x, _ in found.values()], pa.list_(pa.int64())), pa.array([x for _, x in found.values()], pa.bool_())], names=["a", "others", "cut"])
+                yield taken()
 
     forest = _forest(reps, trees)
-    if most > FIRST_LIST:  # few rows search on: only their regions
-        region = F.substring("key", 1, 1 + 4 * MIN_DEPTH)
-        wanted = written(_forest(reps.where("search"), trees).select(region.alias("_r")).distinct())
-        forest = forest.join(wanted, region == wanted["_r"], "left_semi")
-    ordered = forest.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     if not most:
+        ordered = forest.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
         return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
-    lists = ordered.mapInArrow(run, "a bigint, others array<bigint>, cut boolean")
+    forest = forest.withColumn("key", _region())
+    if most > FIRST_LIST:  # few rows search on: only their regions
+        wanted = written(_regions(reps.where("search"), trees).distinct())
+        forest = forest.join(wanted, forest["key"] == wanted["_r"], "left_semi")
+    if large is not None:
+        parts = F.coalesce("parts", F.lit(1))
+        forest = forest.join(large, forest["key"] == large["_r"], "left").withColumn("_b", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        forest = forest.withColumn("_c", F.explode(F.sequence(F.lit(0), parts - 1)))
+        place = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+        key = F.concat("key", place(F.least("_b", "_c")), place(F.greatest("_b", "_c")))
+        side = F.when(F.col("_b") == F.col("_c"), 0).when(F.col("_b") < F.col("_c"), 1).otherwise(2)
+        forest = forest.select("id", "n", "comp", "search", key.alias("key"), "small", side.alias("side"))
+    whole = forest.repartition("key").sortWithinPartitions("key", "id")
+    lists = whole.mapInArrow(run_whole, "a bigint, others array<bigint>, cut boolean")
     return lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"), F.max("cut").alias("cut"))
 
 
@@ -322,13 +391,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     texts = own.where("doc_id is not null")
     tried = written(candidates(reps.select("rep", "n_shingles", F.col("rep").alias("comp"), F.lit(True).alias("search"), "sig", "small"), trees, share))
     links, most, left = written(_confirm(tried, texts, shingle, percent)), FIRST_LIST, None
+    large = written(large_regions(reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("rep").alias("comp"), F.lit(True).alias("search"), "sig", "small"), trees))
+    if not large.limit(1).count():
+        large = None
     while True:
         so_far = components(links)
         again = reps.join(so_far, reps["rep"] == so_far["id"], "left")
         if left is not None:  # only rows whose lists were cut short search on
             again = again.join(left.select(F.col("a").alias("_l")), F.col("rep") == F.col("_l"), "left")
         search = F.lit(True) if left is None else F.col("_l").isNotNull()
-        lists = written(candidates(again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), search.alias("search"), "sig", "small"), trees, share, most))
+        lists = written(candidates(again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), search.alias("search"), "sig", "small"), trees, share, most, large))
         pairs = lists.select("a", F.explode("others").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = written(pairs.join(tried, ["a", "b"], "left_anti"))
         new = written(_confirm(more, texts, shingle, percent))

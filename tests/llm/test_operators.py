@@ -179,6 +179,23 @@ def test_near_duplicates_tied_groups(spark):
     assert {c for _, c in want.values()} == {0} and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+@pytest.mark.parametrize("block", [4096, 64])
+def test_near_duplicates_hot_region(spark, monkeypatch, block):
+    """Pairs far apart in a region that passes batches, tasks and (64) blocks: a common template."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
+    base = [f"w{i}" for i in range(200)]
+    tail = lambda i: [f"t{i % 160}x{k}" for k in range(15)] + [f"u{i}x{k}" for k in range(10)]
+    items = [(i, " ".join(base + tail(i))) for i in range(320)]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "32")
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(items, "doc_id bigint, text string"), 3, 85).collect()
+    finally:
+        spark.conf.set(batch, before)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 160 for i in range(320)}
+
+
 def test_near_duplicates_repeated_id(spark):
     rows = [(1, " ".join(f"a{i}" for i in range(30))), (1, " ".join(f"b{i}" for i in range(30))), (2, " ".join(f"b{i}" for i in range(30))), (3, " ".join(f"a{i}" for i in range(30)))]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
