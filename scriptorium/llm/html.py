@@ -10,7 +10,7 @@ The winners are a written table: Spark broadcasts it if its size is under the se
 joins by host otherwise.
 
 Edge cases: a null or empty html gives an empty text; a null url is the host ``''``; repeated rows
-stay; an unclosed element ends with its parent or the page; an empty table gives an empty result;
+stay; an unclosed element ends with its parent or the page, an embedded one (svg, video) at once; an empty table gives an empty result;
 other columns are ignored, whatever their names.
 """
 
@@ -27,7 +27,7 @@ from ._spark import written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|iframe|textarea|title|svg|math|object|canvas|audio|video)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|iframe|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
@@ -36,6 +36,8 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
+#: Elements dropped whole; one without an end is its start tag only.
+EMBEDDED = frozenset("template noscript svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head".split())
 CONTAINER = frozenset("article body div main section td blockquote center html".split())
@@ -83,6 +85,21 @@ def _open(tag: str, attrs: str, parent: Element | None, no: int) -> Element:
     return Element(tag, path, drop or bool(parent and parent.drop), no)
 
 
+def _embedded(page: str) -> dict[int, int]:
+    """Where each embedded element that is closed begins and ends."""
+    begun: dict[str, list[int]] = {}
+    out = {}
+    for m in _TOKEN.finditer(page):
+        tag = (m["tag"] or "").lower()
+        if tag in EMBEDDED:
+            if not m["end"]:
+                if not m["attrs"].endswith("/"):
+                    begun.setdefault(tag, []).append(m.start())
+            elif begun.get(tag):
+                out[begun[tag].pop()] = m.end()
+    return out
+
+
 def read(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
     """Blocks of the page in order, without dropped elements: text, characters in links, and the open
     containers from the root."""
@@ -110,13 +127,19 @@ def read(page: str) -> list[tuple[str, int, tuple[Element, ...]]]:
             if in_link:
                 links += len(own)
 
-    for m in _TOKEN.finditer(page):
+    ends = None
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
         tag = tag.lower()
+        if tag in EMBEDDED:
+            if not m["end"]:
+                ends = _embedded(page) if ends is None else ends
+                at = ends.get(m.start(), at)
+            continue
         if skip:
             if tag in BLOCK or tag in DROP_TAG:
                 skip = ""  # it was never closed

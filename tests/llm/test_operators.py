@@ -348,6 +348,11 @@ def test_html(spark):
     assert html.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ['<svg class="i"/>', '<object data="x"/>', "<video-js></video-js>", "<audio-player>", "<title-block>", "<canvas>", "<svg><svg>x</svg>x</svg>", "<video>x</video>", "<script>x</script>"])
+def test_html_embedded(mark):
+    assert html.extract(f"<article><p>a {mark} c</p><p>b</p></article>", None).split() == ["a", "c", "b"]
+
+
 def test_html_consensus(spark):
     """A page whose own best container is another is read by its host's path."""
     good = "<body><div class=main><p>{}</p></div><div class=other><p>{}</p></div>"
