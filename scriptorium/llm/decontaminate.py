@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import written
 from ._words import Words, blocks
 
 SHINGLE = 5
@@ -118,7 +117,23 @@ def search(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int =
     return scan(block) if out is None else out.unionByName(scan(block)) if block else out
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without those that hold a test item."""
-    leaks = written(search(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(leaks, docs[options.get("id_col", "doc_id")] == leaks["_leak"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int = SHINGLE, block_items: int = 50_000, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """The documents without those that hold a test item: row by row, whatever their ids."""
+    bench, schema = items.select(F.col(item_text_col).alias("text")).where("text is not null"), docs.schema
+
+    def scan(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        def run(batches):
+            index = Index(block, share, shingle)
+            for part, data, off in blocks(batches, text_col):
+                keep = np.ones(len(part), bool)
+                keep[np.array([r for r, _, _ in index.search(data, off)], np.int64)] = False
+                yield part.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, schema)
+
+    block = []
+    for row in bench.toLocalIterator():
+        block.append((len(block), row[0]))
+        if len(block) == block_items:
+            docs, block = scan(docs, block), []
+    return scan(docs, block) if block else docs

@@ -116,6 +116,16 @@ def test_decontamination(spark, docs, none):
     assert left == {None, *range(60)} - {i for i, _, _ in got}
 
 
+def test_decontamination_ids(spark):
+    """Rows go by their own text: with a null id, and beside a clean row of the same id."""
+    item = "one two three four five six seven"
+    rows = [(None, item), (None, "clean text"), (1, f"so {item} so"), (1, "other text"), (2, None)]
+    bench = spark.createDataFrame([(1, item), (2, "not found in any of the rows")], "item_id bigint, text string")
+    for size in (1, 50_000):
+        got = decontaminate.clean(spark.createDataFrame(rows, "doc_id bigint, text string"), bench, block_items=size).collect()
+        assert {tuple(r) for r in got} == {(None, "clean text"), (1, "other text"), (2, None)}
+
+
 def brute_components(items, shingle, percent):
     sets = {}
     for i, t in items:
