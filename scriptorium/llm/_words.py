@@ -15,13 +15,10 @@ import pyarrow as pa
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SEED = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _SEED.integers(1, 2**64, 256, dtype=U)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
-_pow = np.ones(1, U), np.ones(1, U)
+#: Masks of a lane's first 0 to 8 bytes.
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 BLOCK_BYTES = 3 << 19
 #: Of a block; so a row's number and 52 bits of a hash fit into one sort key.
 BLOCK_ROWS = 4096
@@ -37,15 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of an odd base and of its inverse, modulo 2^64."""
-    global _pow
-    if len(_pow[0]) < n:
-        m = max(n, 1 << 16)
-        _pow = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(m - 1, b, U)])) for b in (_BASE, pow(_BASE, -1, 2**64)))
-    return _pow[0][:n], _pow[1][:n]
-
-
 def blocks(batches, column: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their text bytes and row offsets (rows + 1); a null text is empty."""
     for batch in batches:
@@ -90,19 +78,49 @@ class Words:
         if hashed:
             self.hash = self.spans(self.start, self.end, lower)
 
+    def _lanes(self, lower: bool) -> np.ndarray:
+        """The eight bytes from each place on as one number."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[: len(self.data)] = _LOWER[self.data] if lower else self.data
+        return np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))
+
     def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the byte spans."""
-        n = len(self.data)
-        if not len(start):
-            return np.zeros(0, U)
-        up, down = _powers(n + 1)
-        h = (_BYTE_LOWER if lower else _BYTE)[self.data]
-        h *= up[:n]
-        np.cumsum(h, out=h)
-        total = h[end - 1]
-        total[start > 0] -= h[start[start > 0] - 1]
-        total *= down[start]
-        return mix(total + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        """64-bit hashes of the byte spans: the sum of their lanes of eight bytes, each mixed with its
+        place, and of their length. No span's hash follows from another's by arithmetic."""
+        lanes, size = self._lanes(lower), end - start
+        left = np.minimum(size, 8)
+        h = mix(lanes[start] & _LANE[left]) + size.astype(U) * U(0xD6E8FEB86659FD93)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) // 8  # lanes after the first
+            first = np.cumsum(n) - n
+            k = np.arange(n.sum()) - np.repeat(first, n) + 1
+            rest = np.minimum(np.repeat(size[long], n) - 8 * k, 8)
+            more = mix((lanes[np.repeat(start[long], n) + 8 * k] & _LANE[rest]) ^ mix(k.astype(U) * U(0x9E3779B97F4A7C15)))
+            h[long] += np.add.reduceat(more, first)
+        return mix(h)
+
+    def codes(self, lower: bool = False) -> tuple[np.ndarray, list[bytes]]:
+        """A number for each word, equal for equal words only, and the words by number: classes of
+        equal hashes, each member compared with the first one byte for byte."""
+        if not self.n:
+            return np.zeros(0, np.int64), []
+        _, at, code = np.unique(self.hash, return_index=True, return_inverse=True)
+        lanes, size = self._lanes(lower), self.end - self.start
+        head = at[code]
+        same = bool((size == size[head]).all())
+        todo, k = np.arange(self.n), 0
+        while same and len(todo):
+            mask = _LANE[np.minimum(size[todo] - 8 * k, 8)]
+            same = bool(((lanes[self.start[todo] + 8 * k] & mask) == (lanes[self.start[head[todo]] + 8 * k] & mask)).all())
+            k += 1
+            todo = todo[size[todo] > 8 * k]
+        raw = (_LOWER[self.data] if lower else self.data).tobytes()
+        if same:
+            return code, [raw[a:b] for a, b in zip(self.start[at], self.end[at])]
+        known: dict[bytes, int] = {}
+        code = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(self.start, self.end)], np.int64)
+        return code, list(known)
 
     def row(self) -> np.ndarray:
         """The row of each word."""
@@ -143,11 +161,45 @@ def run_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words from each place."""
     h = np.full(len(at), n, U) * U(0xA0761D6478BD642F)
     for k in range(n):
+        h ^= words[at + k]
         h *= U(0xE7037ED1A0B428DB)
-        h += words[at + k]
+        h ^= h >> U(32)
     return mix(h)
 
 
+def exact_runs(code: np.ndarray, n: int) -> np.ndarray:
+    """A number for each run of n successive codes, equal for equal runs only; codes under 2^31."""
+    out = code[: len(code) - n + 1].astype(np.int64)
+    for k in range(1, n):
+        if len(out) and int(out.max()) >= 1 << 31:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out << 31 | code[k : len(code) - n + 1 + k]
+    return out
+
+
+def exact_sets(data: np.ndarray, off: np.ndarray, n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of n words of each row (all words, in a row of fewer) as (row, number) pairs in
+    order: equal numbers are equal words."""
+    w = Words(data, off, lower)
+    if not w.n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, _ = w.codes(lower)
+    row, count, ids, rows, used = w.row(), np.diff(w.first), [], [], 0
+    for k in range(1, n + 1):
+        if k < n:
+            at = w.first[:-1][count == k]
+        else:
+            at = np.arange(max(0, w.n - n + 1))
+            at = at[row[at] == row[at + n - 1]]
+        if len(at):
+            known, own = np.unique(exact_runs(code, k)[at], return_inverse=True)
+            ids.append(own + used)
+            rows.append(row[at])
+            used += len(known)
+    key = np.unique(np.concatenate(rows) << 40 | np.concatenate(ids))
+    return key >> 40, key & ((1 << 40) - 1)
+
+
 def row_sets(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 52-bit hashes of each row, one row after the other, and their bounds (rows + 1)."""
     key = np.sort((row.astype(U) << U(52)) | (h >> U(12)))

@@ -6,8 +6,8 @@ their number of shingles n (powers of two). An item that a document holds to the
 most floor((1 - t) * n) of its shingles, so of the floor((1 - t) * n) + 1 shingles with its smallest
 hash values -- its bottom-k MinHash signature -- the document holds at least one. The signature's
 length follows the partition's largest size, so no item at or above the threshold is missed.
-Documents probe the index of signatures shingle by shingle; candidates are then verified on the
-exact shingle sets.
+Documents probe the index of signatures shingle by shingle; candidates are then counted on hashes of
+their shingles, and those at the threshold verified on the words themselves.
 
 Memory: the index holds the signatures of one block of items (``block_items``); a larger benchmark
 is searched block by block, each in one pass over the documents. Documents are never shuffled.
@@ -19,22 +19,31 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import Words, blocks
+from ._words import Words, blocks, cached
 
 SHINGLE = 5
 
 
+def shingle_set(text: bytes, shingle: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text's words, A-Z lower-cased; of fewer words, all of them as one."""
+    words = text.lower().split()
+    n = min(len(words), shingle)
+    return set(zip(*(words[i:] for i in range(n)))) if n else set()
+
+
 class Index:
     """Signatures of a block of items. Lengths below the shingle's are those of short items."""
 
     def __init__(self, items: list[tuple[int, str]], share: float, shingle: int):
         self.share, self.shingle, self.sets, owner, sign, kind = share, shingle, [], [], [], []
-        self.ids = [i for i, _ in items]
+        self.ids, self.items = [i for i, _ in items], [(text or "").encode() for _, text in items]
         lengths = []
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
@@ -73,7 +82,7 @@ class Index:
             hit = hi > lo
             for r, a, b in zip(row[maybe[hit]], lo[hit], hi[hit]):
                 pairs += [(int(r), int(o)) for o in self.owner[a:b]]
-        out = []
+        out, now, grams = [], None, {}
         for r, k in sorted(set(pairs)):
             own = self.sets[k]
             n = next((n for n in self.lengths if n == self.shingle), self.lengths[-1]) if len(own) > 1 else None
@@ -82,8 +91,17 @@ class Index:
                 h, _, row = runs[m]
                 a, b = np.searchsorted(row, [r, r + 1])
                 have = max(have, int(np.isin(own, h[a:b]).sum()))
-            if have >= self.share * len(own) - 1e-9:
-                out.append((r, k, have / len(own)))
+            if have < self.share * len(own) - 1e-9:
+                continue
+            if now != r:  # the words of the row, once
+                now, grams, text = r, {}, data[off[r] : off[r + 1]].tobytes().lower().split()
+            want = shingle_set(self.items[k], self.shingle)
+            m = len(next(iter(want)))
+            if m not in grams:
+                grams[m] = set(zip(*(text[i:] for i in range(m))))
+            have = len(want & grams[m])
+            if have >= self.share * len(want) - 1e-9:
+                out.append((r, k, have / len(want)))
         return out
 
 
@@ -96,8 +114,10 @@ def search(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int =
     schema = f"doc_id {kind}, item_id {item_kind}, containment double"
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches):
-            index = Index(block, share, shingle)
+            index = cached(("items", name), lambda: Index(block, share, shingle))
             for part, data, off in blocks(batches):
                 found = index.search(data, off)
                 if found:
@@ -122,8 +142,10 @@ def clean(docs: DataFrame, items: DataFrame, share: float = 0.8, shingle: int =
     bench, schema = items.select(F.col(item_text_col).alias("text")).where("text is not null"), docs.schema
 
     def scan(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches):
-            index = Index(block, share, shingle)
+            index = cached(("items", name), lambda: Index(block, share, shingle))
             for part, data, off in blocks(batches, text_col):
                 keep = np.ones(len(part), bool)
                 keep[np.array([r for r, _, _ in index.search(data, off)], np.int64)] = False

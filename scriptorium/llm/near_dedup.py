@@ -2,19 +2,28 @@
 
 A document is the set of its distinct word shingles. Documents with equal sets fold into one
 representative first (partial aggregation by a fingerprint of the set), so copies cost one row each.
-Each representative gets a MinHash signature, cut into trees of DEPTH values. The rows of all trees
-are put in one sorted order (range partitioning: a large region is spread over tasks). Neighbours in
-a tree's order that share a prefix of at least MIN_DEPTH values are a region. Depth adapts to the
-region: one of up to REGION members is searched whole, a larger one is split by a longer prefix, and
-what is still larger at full depth is searched in overlapping windows along the order, each with the
-region's hub. Pairs whose signatures already rule a link out are dropped. In a first round a region
-gives just the candidates that would join its members (a hub, the row most like the others, comes
-first in large ones). In later rounds, with the components known, members that are still apart give
-all their pairs in a small region and their likeliest ones in a large one; those with more search on,
-for more each round, until no list is cut short. So the candidates of a document grow with its group
-only while it stays apart from members that it may be like. Then a region is a key, and always whole:
-one of more than BLOCK rows is dealt into blocks, and every two blocks meet. Every candidate is
-confirmed on the full sets of the whole texts.
+Each representative gets a MinHash signature, cut into trees of DEPTH values. Neighbours in a tree's
+sorted order that share a prefix of at least MIN_DEPTH values are a region. Pairs whose signatures
+already rule a link out are dropped. Three rounds:
+
+1. The rows of all trees are put in one sorted order (range partitioning: a large region is spread over
+   tasks). Depth adapts to the region: one of up to REGION members is searched whole, a larger one is
+   split by a longer prefix, and what is still larger at full depth is searched in overlapping windows
+   along the order, each with the region's hub, the row most like the others. Only candidates that
+   would join what a window holds are given. This finds most links cheaply; what it misses depends on
+   where windows, batches and partitions end, and is left to the other rounds, which search regions
+   whole: there a region is a key.
+2. With the components known, members of other components meet. Each row lists those that it may be
+   linked with, up to LIST of them, likeliest first; a row with more is marked.
+3. Marked rows meet all of each region again, with the sets of both sides, and what is a link on them is
+   given, once for two components. So a row's candidates are never cut, and pairs that are no links are
+   never written, however many there are.
+
+In rounds 2 and 3 a region too large for one task is dealt out: its searching rows in blocks, all of its
+rows in blocks, and every two blocks meet. Rows of the region's largest component needn't search: the
+other end of each pair does. So the cost follows what is truly apart, not the square of a group of
+copies. Every link is confirmed on the words of both whole texts, so no hash decides one. The result
+depends on none of the partitions, batches or blocks.
 
 A pair exactly at the threshold is in no common region with a probability under ``miss``.
 
@@ -30,21 +39,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import released, written
-from ._words import Words, blocks, mix, row_sets
+from ._words import Words, blocks, exact_sets, mix, row_sets
 from .components import components
 
 DEPTH, MIN_DEPTH, REGION = 4, 3, 48
 #: MinHash values a similarity is estimated from; those beyond the trees' are kept as a byte each.
 ESTIMATE = 128
-#: Others that a row of a large region lists in the second round; later rounds double it, or take
-#: eight times as many if a round finds no link.
-FIRST_LIST = 32
-#: From the second round on, rows of a region that meet in one place; a larger region is dealt out.
-BLOCK = 4096
+#: Others that a row of a large region lists in the second round; one with more is searched in the third.
+LIST = 32
+#: Rows of a region that meet in one place in the second round, and shingles in the third; a larger
+#: region is dealt out.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 #: Others in the lists of one Arrow batch, about.
 HELD = 1 << 18
 U = np.uint64
@@ -112,36 +121,37 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def _forest(reps: DataFrame, trees: int) -> DataFrame:
-    """A row for each tree of each representative, with its key: tree number and DEPTH values."""
+    """A row for each tree of each representative, with its key: tree number and DEPTH values. reps: id,
+    n, comp, sig, small."""
 
     def run(batches):
         for b in batches:
             n = len(b)
             if not n:
                 continue
-            sig, step = _matrix(b.column(4)), 4 * DEPTH
+            sig, step = _matrix(b.column(3)), 4 * DEPTH
             for t in range(trees):
                 key = np.empty((n, 1 + step), np.uint8)
                 key[:, 0] = t
                 key[:, 1:] = sig[:, t * step : (t + 1) * step]
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], _binary(key), b.column(5)], names=["id", "n", "comp", "search", "key", "small"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], _binary(key), b.column(4)], names=["id", "n", "comp", "key", "small"])
 
-    return reps.mapInArrow(run, "id bigint, n bigint, comp bigint, search boolean, key binary, small binary")
+    return reps.select("id", "n", "comp", "sig", "small").mapInArrow(run, "id bigint, n bigint, comp bigint, key binary, small binary")
 
 
 class _Rows:
-    """Rows of a stretch of the sorted order; ``comp``: the component so far; ``search``: the row
-    still looks for others; ``side``: 1 or 2 where two blocks of a region meet, else 0."""
+    """Rows of a stretch of the sorted order; ``comp``: the component so far; ``side``: where a region is dealt out, 1 for its searching rows, 2 for all of
+    them, else 0."""
 
-    NAMES = ("ids", "n", "comp", "search", "key", "small", "side")
+    NAMES = ("ids", "n", "comp", "key", "small", "side")
 
-    def __init__(self, ids, n, comp, search, key, small, side):
-        self.ids, self.n, self.comp, self.search, self.key, self.small, self.side = ids, n, comp, search, key, small, side
+    def __init__(self, ids, n, comp, key, small, side):
+        self.ids, self.n, self.comp, self.key, self.small, self.side = ids, n, comp, key, small, side
 
     @staticmethod
     def of(b: pa.RecordBatch):
-        side = np.asarray(b.column(6)) if b.num_columns > 6 else np.zeros(len(b), np.int32)
-        return _Rows(*(np.asarray(b.column(k)) for k in range(4)), _matrix(b.column(4)), _matrix(b.column(5)), side)
+        side = np.asarray(b.column(5)) if b.num_columns > 5 else np.zeros(len(b), np.int32)
+        return _Rows(*(np.asarray(b.column(k)) for k in range(3)), _matrix(b.column(3)), _matrix(b.column(4)), side)
 
     def take(self, at):
         return _Rows(*(getattr(self, x)[at] for x in self.NAMES))
@@ -151,13 +161,18 @@ class _Rows:
         return _Rows(*(np.concatenate([getattr(p, x) for p in parts]) for x in _Rows.NAMES))
 
 
+def _alike(some: np.ndarray, all_: np.ndarray) -> np.ndarray:
+    """The estimated similarity of each of some signatures with each of all."""
+    return np.concatenate([(some[:, None, :] == all_[None, j : j + 2048, :]).mean(2) for j in range(0, len(all_), 2048)], 1)
+
+
 class _Search:
-    """Candidate pairs in regions. most 0: pairs that would join what a window holds, in ``out``.
-    Otherwise of each searching row those of other components, in a large region the ``most``
-    likeliest ones, in ``lists`` as (row, others, cut short); ``held``: how many others."""
+    """Candidate pairs in regions. first: pairs that would join what a window holds, in ``out``.
+    Otherwise of each searching row those of other components, in a large region the LIST likeliest
+    ones, in ``lists`` as (row, others, cut short); ``held``: how many others."""
 
-    def __init__(self, low: float, share: float, most: int):
-        self.low, self.share, self.first, self.most, self.out, self.lists = low, share, not most, most, [], []
+    def __init__(self, low: float, share: float, first: bool):
+        self.low, self.share, self.first, self.out, self.lists = low, share, first, [], []
         self.held = 0
 
     def window(self, r: _Rows, hubs: int = 0) -> None:
@@ -176,7 +191,7 @@ class _Search:
                     group[group == group[i]] = group[j]
                     own[group[:i] == group[i]] = 0
         else:
-            pair = np.triu(like >= self.low, 1) & (group[:, None] != group[None, :]) & (r.search[:, None] | r.search[None, :])
+            pair = np.triu(like >= self.low, 1) & (group[:, None] != group[None, :])
             self.lists.extend((r.ids[i], r.ids[np.flatnonzero(pair[i])], False) for i in np.flatnonzero(pair.any(1)))
 
     def region(self, r: _Rows, depth: int) -> None:
@@ -199,25 +214,24 @@ class _Search:
             self.windows(r)
 
     def apart(self, r: _Rows):
-        """Searching rows against all of the region, or those of the other block; stops now and then
-        for the lists to be taken. In the second round, when all rows search, those of the largest
-        component here needn't: the other end of each pair does."""
+        """Searching rows against all of the region, but for those of the largest component here: the
+        other end of each pair searches. Stops now and then for the lists to be taken."""
         _, group, size = np.unique(r.comp, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(r.search if self.most > FIRST_LIST else (group != size.argmax()) & r.search)
-        for side in (1, 2) if r.side.any() else (0,):
-            mine, pool = rest[r.side[rest] == side], np.flatnonzero(r.side == (3 - side if side else 0))
-            small, n = r.small[pool], r.n[pool]
-            for i in range(0, len(mine) if len(pool) else 0, 32):
-                own = mine[i : i + 32]
-                like = np.concatenate([(r.small[own][:, None, :] == small[None, j : j + 2048, :]).mean(2) for j in range(0, len(pool), 2048)], 1)
-                like[np.minimum.outer(r.n[own], n) < self.share * np.maximum.outer(r.n[own], n) - 1e-9] = 0
-                for x, row in zip(own, like):
-                    found = np.flatnonzero((row >= self.low) & (group[pool] != group[x]))
-                    if len(found):
-                        found = found[np.argsort(-row[found], kind="stable")]
-                        self.lists.append((r.ids[x], r.ids[pool[found[: self.most]]], len(found) > self.most))
-                        self.held += min(len(found), self.most)
-                yield
+        if r.side.any():
+            mine, pool = np.flatnonzero(r.side == 1), np.flatnonzero(r.side == 2)
+        else:
+            mine, pool = np.flatnonzero(group != size.argmax()), np.arange(len(r.ids))
+        small, n = r.small[pool], r.n[pool]
+        for i in range(0, len(mine) if len(pool) else 0, 32):
+            own = mine[i : i + 32]
+            for x, row in zip(own, _alike(r.small[own], small)):
+                row[np.minimum(r.n[x], n) < self.share * np.maximum(r.n[x], n) - 1e-9] = 0
+                found = np.flatnonzero((row >= self.low) & (group[pool] != group[x]))
+                if len(found):
+                    found = found[np.argsort(-row[found], kind="stable")]
+                    self.lists.append((r.ids[x], r.ids[pool[found[:LIST]]], len(found) > LIST))
+                    self.held += min(len(found), LIST)
+            yield
 
     @staticmethod
     def hub(r: _Rows) -> int:
@@ -240,34 +254,45 @@ def _region() -> F.Column:
     return F.substring("key", 1, 1 + 4 * MIN_DEPTH)
 
 
-def _regions(reps: DataFrame, trees: int) -> DataFrame:
-    """The region of each row of the forest."""
-    return _forest(reps.withColumn("small", F.lit(bytearray())), trees).select(_region().alias("_r"))
+def _keys(reps: DataFrame, trees: int) -> DataFrame:
+    """id, n, comp and region (_r) of each row of the forest."""
+    return _forest(reps.withColumn("small", F.lit(bytearray())), trees).select("id", "n", "comp", _region().alias("_r"))
+
+
+def _number(x: Column) -> Column:
+    """A whole number in four bytes."""
+    return F.unhex(F.lpad(F.hex(x), 8, "0"))
+
+
+def _dealt(rows: DataFrame, searching: Column) -> DataFrame:
+    """rows with _r, s_parts, p_parts -> key (region and two blocks), side: searching rows (1) of each
+    block meet all rows (2) of each block."""
+    own = F.when(searching, F.transform(F.sequence(F.lit(0), F.col("p_parts") - 1), lambda p: F.struct(F.pmod(F.xxhash64("id"), F.col("s_parts")).cast("int").alias("s"), p.alias("p"), F.lit(1).alias("side"))))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("s_parts") - 1), lambda s: F.struct(s.alias("s"), F.pmod(F.xxhash64("id"), F.col("p_parts")).cast("int").alias("p"), F.lit(2).alias("side")))
+    placed = rows.withColumn("_m", F.explode(F.concat(F.coalesce(own, F.array().cast("array<struct<s:int,p:int,side:int>>")), all_)))
+    return placed.withColumn("key", F.concat("_r", _number(F.col("_m.s")), _number(F.col("_m.p")))).withColumn("side", F.col("_m.side")).drop("_m")
+
 
+def _low(share: float, trees: int) -> float:
+    """A link is ruled out if the estimate is four standard deviations under the threshold."""
+    return share - 4 * math.sqrt(share * (1 - share) / max(trees * DEPTH, ESTIMATE))
 
-def large_regions(reps: DataFrame, trees: int) -> DataFrame:
-    """_r, parts: the regions of over BLOCK rows and the number of their blocks."""
-    size = _regions(reps, trees).groupBy("_r").count().where(F.col("count") > BLOCK)
-    return size.select("_r", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
 
+def _bounds(rows: _Rows, wide: int) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero((rows.key[1:, :wide] != rows.key[:-1, :wide]).any(1)) + 1, [len(rows.ids)]])
 
-def candidates(reps: DataFrame, trees: int, share: float, most: int = 0, large: DataFrame | None = None) -> DataFrame:
-    """most 0: pairs a < b that may be links, once each. Otherwise a, others (array, once each), cut:
-    see _Search. reps: id, n, comp, search, sig, small. large: the regions to deal into blocks. A link
-    is ruled out if the estimate is four standard deviations under the threshold."""
-    low = share - 4 * math.sqrt(share * (1 - share) / max(trees * DEPTH, ESTIMATE))
-    wide = 1 + 4 * MIN_DEPTH if not most or large is None else 1 + 4 * MIN_DEPTH + 8
 
-    def bounds(rows):
-        return np.concatenate([[0], np.flatnonzero((rows.key[1:, :wide] != rows.key[:-1, :wide]).any(1)) + 1, [len(rows.ids)]])
+def _pairs_of_two(rows: _Rows, cut: np.ndarray, low: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    two = cut[:-1][np.diff(cut) == 2]
+    like = (rows.small[two] == rows.small[two + 1]).mean(1)
+    x, y = rows.n[two], rows.n[two + 1]
+    ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9) & (rows.comp[two] != rows.comp[two + 1])
+    return rows.ids[two][ok], rows.ids[two + 1][ok]
 
-    def pairs_of_two(rows, cut):
-        two = cut[:-1][np.diff(cut) == 2]
-        like = (rows.small[two] == rows.small[two + 1]).mean(1)
-        x, y = rows.n[two], rows.n[two + 1]
-        ok = (like >= low) & (np.minimum(x, y) >= share * np.maximum(x, y) - 1e-9) & (rows.comp[two] != rows.comp[two + 1])
-        ok &= rows.search[two] | rows.search[two + 1]
-        return rows.ids[two][ok], rows.ids[two + 1][ok]
+
+def first_candidates(reps: DataFrame, trees: int, share: float) -> DataFrame:
+    """Round 1: pairs a < b that may be links, once each."""
+    low, wide = _low(share, trees), 1 + 4 * MIN_DEPTH
 
     def run(batches):
         kept = None  # the end of the last stretch, whose region may go on
@@ -277,11 +302,11 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0, large:
             rows = _Rows.of(b)
             if kept is not None:
                 rows = _Rows.join([kept, rows])
-            n, search, cut = len(rows.ids), _Search(low, share, 0), bounds(rows)
-            search.out.extend(zip(*pairs_of_two(rows, cut)))
+            search, cut = _Search(low, share, True), _bounds(rows, wide)
+            search.out.extend(zip(*_pairs_of_two(rows, cut, low, share)))
             for k in np.flatnonzero(np.diff(cut) > 2):
                 search.region(rows.take(np.arange(cut[k], cut[k + 1])), MIN_DEPTH)
-            last = np.arange(cut[-2], n)  # a large region goes on with its hub and its last rows
+            last = np.arange(cut[-2], len(rows.ids))  # a large region goes on with its hub and its last rows
             if len(last) > REGION:
                 last = np.unique(np.concatenate([last[[search.hub(rows.take(last))]], last[1 - REGION :]]))
             kept = rows.take(last)
@@ -289,23 +314,38 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0, large:
                 pairs = np.unique(np.sort(np.array(search.out, np.int64), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    ordered = _forest(reps, trees).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def listed_candidates(reps: DataFrame, trees: int, share: float) -> DataFrame:
+    """Round 2: a, others (array, once each), cut (there are more)."""
+    low, wide = _low(share, trees), 1 + 4 * MIN_DEPTH
+    of = _keys(reps, trees).groupBy("_r", "comp").agg(F.count("*").alias("k")).groupBy("_r")
+    large = written(of.agg(F.sum("k").alias("k"), F.max("k").alias("most"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where(f"k > {BLOCK} and k > most"))
+    dealt = bool(large.limit(1).count())
+
     def stretches(batches):
         """Rows of whole regions: one that goes on in the next batch waits for it."""
-        kept = None
+        kept = []
         for b in batches:
             if len(b):
                 rows = _Rows.of(b)
-                if kept is not None:
-                    rows = _Rows.join([kept, rows])
-                last = bounds(rows)[-2]
+                end = len(rows.ids) if not kept or (rows.key[-1] == kept[0].key[-1]).all() else 0
+                last = _bounds(rows, rows.key.shape[1])[-2]
+                if end and kept and not last:
+                    kept.append(rows)  # all of it goes on
+                    continue
+                rows = _Rows.join([*kept, rows]) if kept else rows
+                last = _bounds(rows, rows.key.shape[1])[-2]
                 if last:
                     yield rows.take(slice(0, last))
-                kept = rows.take(slice(last, None))
-        if kept is not None:
-            yield kept
+                kept = [rows.take(slice(last, None))]
+        if kept:
+            yield _Rows.join(kept)
 
-    def run_whole(batches):
-        search = _Search(low, share, most)
+    def run(batches):
+        search = _Search(low, share, False)
 
         def taken():
             lists, search.lists, search.held = search.lists, [], 0
@@ -314,13 +354,12 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0, large:
             return pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in lists], pa.int64()), others, pa.array([c for _, _, c in lists], pa.bool_())], names=["a", "others", "cut"])
 
         for rows in stretches(batches):
-            cut = bounds(rows)
-            search.lists.extend((i, np.array([j]), False) for i, j in zip(*pairs_of_two(rows, cut)))
-            for k in np.flatnonzero(np.diff(cut) > 2):
+            cut = _bounds(rows, rows.key.shape[1])
+            if not rows.side.any():
+                search.lists.extend((i, np.array([j]), False) for i, j in zip(*_pairs_of_two(rows, cut, low, share)))
+            for k in np.flatnonzero(np.diff(cut) > (1 if rows.side.any() else 2)):
                 own = rows.take(slice(cut[k], cut[k + 1]))
-                if not own.search.any():
-                    continue
-                if len(own.ids) <= REGION:
+                if len(own.ids) <= REGION and not own.side.any():
                     search.window(own)
                 else:
                     for _ in search.apart(own):
@@ -329,27 +368,108 @@ def candidates(reps: DataFrame, trees: int, share: float, most: int = 0, large:
             if search.lists:
                 yield taken()
 
-    forest = _forest(reps, trees)
-    if not most:
-        ordered = forest.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-        return ordered.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
-    forest = forest.withColumn("key", _region())
-    if most > FIRST_LIST:  # few rows search on: only their regions
-        wanted = written(_regions(reps.where("search"), trees).distinct())
-        forest = forest.join(wanted, forest["key"] == wanted["_r"], "left_semi")
-    if large is not None:
-        parts = F.coalesce("parts", F.lit(1))
-        forest = forest.join(large, forest["key"] == large["_r"], "left").withColumn("_b", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        forest = forest.withColumn("_c", F.explode(F.sequence(F.lit(0), parts - 1)))
-        place = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
-        key = F.concat("key", place(F.least("_b", "_c")), place(F.greatest("_b", "_c")))
-        side = F.when(F.col("_b") == F.col("_c"), 0).when(F.col("_b") < F.col("_c"), 1).otherwise(2)
-        forest = forest.select("id", "n", "comp", "search", key.alias("key"), "small", side.alias("side"))
-    whole = forest.repartition("key").sortWithinPartitions("key", "id")
-    lists = whole.mapInArrow(run_whole, "a bigint, others array<bigint>, cut boolean")
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, others array<bigint>, cut boolean")
+
+    forest = _forest(reps, trees).withColumn("key", _region())
+    if dealt:
+        parts = large.select("_r", "main", F.ceil((F.col("k") - F.col("most")) / BLOCK).cast("int").alias("s_parts"), F.ceil(F.col("k") / BLOCK).cast("int").alias("p_parts"))
+        apart = _dealt(forest.join(parts, forest["key"] == parts["_r"]).drop("key"), F.col("comp") != F.col("main")).select("id", "n", "comp", "key", "small", "side")
+        whole = large.select(F.col("_r").alias("_l"))
+        lists = searched(forest.join(whole, forest["key"] == whole["_l"], "left_anti")).union(searched(apart))
+    else:
+        lists = searched(forest)
     return lists.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"), F.max("cut").alias("cut"))
 
 
+def set_rows(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, set: the sorted hashes of the text's shingles, eight bytes each."""
+
+    def run(batches):
+        for part, data, off in blocks(batches):
+            sets, bounds = _sets(data, off, shingle)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["doc_id", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, set binary")
+
+
+def region_links(reps: DataFrame, marked: DataFrame, docs: DataFrame, trees: int, shingle: int, percent: int) -> DataFrame:
+    """Round 3: links a, b of the marked rows (a) with rows of other components, by their sets; of two
+    components that meet in one place, one link."""
+    share = percent / 100
+    low = _low(share, trees)
+    mine = reps.join(marked.select(F.col("a").alias("_m")), reps["id"] == F.col("_m"), "left_semi")
+    wanted = written(_keys(mine, trees).groupBy("_r").agg(F.sum("n").alias("s")))
+    keys = _keys(reps, trees)
+    sizes = keys.join(wanted, "_r").groupBy("_r").agg(F.first("s").alias("s"), F.sum("n").alias("p"))
+    parts = written(sizes.select("_r", *(F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int").alias(f"{c}_parts") for c in "sp")))
+    used = keys.join(wanted, "_r", "left_semi").select(F.col("id").alias("_u")).distinct()
+    sets = written(set_rows(docs.join(used, docs["doc_id"] == used["_u"], "left_semi"), shingle).withColumnRenamed("doc_id", "_s").distinct())
+    forest = _forest(reps, trees).withColumn("_r", _region()).drop("key").join(parts, "_r")
+    search = marked.select(F.col("a").alias("_m"))
+    forest = forest.join(search, forest["id"] == search["_m"], "left")
+    forest = _dealt(forest, F.col("_m").isNotNull()).join(sets, F.col("id") == F.col("_s")).select("key", "id", "n", "comp", "small", "side", "set")
+
+    def meet(rows: list) -> list[tuple[int, int]]:
+        ids, n, comp = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        small = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        side = np.array([r[5] for r in rows])
+        known, group = np.unique(comp, return_inverse=True)
+        label, out = np.arange(len(known)), []
+        pool = np.flatnonzero(side == 2)
+        for x in np.flatnonzero(side == 1):
+            like = _alike(small[[x]], small[pool])[0] if len(pool) else np.zeros(0)
+            like[np.minimum(n[x], n[pool]) < share * np.maximum(n[x], n[pool]) - 1e-9] = 0
+            at = np.flatnonzero(like >= low)
+            at = pool[at[np.argsort(-like[at], kind="stable")]]
+            own = np.frombuffer(rows[x][6], U)
+            while len(at := at[label[group[at]] != label[group[x]]]):
+                now, at = at[:64], at[64:]
+                other = [np.frombuffer(rows[y][6], U) for y in now]
+                found = np.concatenate(other)
+                place = np.minimum(np.searchsorted(own, found), len(own) - 1)
+                ends = np.concatenate([[0], np.cumsum([len(o) for o in other])])
+                common = np.diff(np.concatenate([[0], np.cumsum(own[place] == found)])[ends])
+                for y in now[100 * common >= percent * (len(own) + np.diff(ends) - common)]:
+                    if label[group[y]] != label[group[x]]:
+                        out.append((int(ids[x]), int(ids[y])))
+                        label[label == label[group[y]]] = label[group[x]]
+        return out
+
+    def run(batches):
+        now, rows = None, []
+        for b in batches:
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if rows and r[0] != now:
+                    out += meet(rows)
+                    rows = []
+                now = r[0]
+                rows.append(r)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+        if rows and (out := meet(rows)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    found = forest.repartition("key").sortWithinPartitions("key", "id", "side").mapInArrow(run, "a bigint, b bigint")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(data_a: np.ndarray, off_a: np.ndarray, i: np.ndarray, data_b: np.ndarray, off_b: np.ndarray, j: np.ndarray, shingle: int, percent: int) -> np.ndarray:
+    """Whether row i of the one block and row j of the other (each j once) are a link, by their words."""
+    m = len(off_a) - 1
+    row, number = exact_sets(np.concatenate([data_a, data_b]), np.concatenate([off_a, off_a[-1] + off_b[1:]]), shingle)
+    size, cut = np.bincount(row, minlength=m + len(off_b) - 1), np.searchsorted(row, m)
+    pair = np.full(len(off_b) - 1, -1)
+    pair[j] = np.arange(len(j))
+    of = pair[row[cut:] - m]
+    known, wanted = row[:cut] << 40 | number[:cut], (i[of] << 40 | number[cut:])[of >= 0]
+    found = np.searchsorted(known, wanted)
+    same = known[np.minimum(found, len(known) - 1)] == wanted if len(known) else np.zeros(len(wanted), bool)
+    common = np.bincount(of[of >= 0][same], minlength=len(j))
+    return (size[i] > 0) & (100 * common >= percent * (size[i] + size[m + j] - common))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs that are links on their full sets."""
     left = docs.select(F.col("doc_id").alias("_a"), F.col("text").alias("text_a"))
@@ -358,21 +478,17 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
     def run(batches):
         for batch in batches:
-            for part, data, off in blocks([batch], "text_a"):
-                sets, bounds = _sets(data, off, shingle)
-                done = 0
-                for sub, data_b, off_b in blocks([part], "text_b"):
-                    sets_b, bounds_b = _sets(data_b, off_b, shingle)
-                    ok = np.zeros(len(sub), bool)
-                    for i in range(len(sub)):
-                        x, y = sets[bounds[done + i] : bounds[done + i + 1]], sets_b[bounds_b[i] : bounds_b[i + 1]]
-                        z = np.sort(np.concatenate([x, y]))
-                        common = int((z[1:] == z[:-1]).sum())
-                        ok[i] = len(x) and 100 * common >= percent * (len(x) + len(y) - common)
-                    done += len(sub)
-                    if ok.any():
-                        keep = pa.array(ok)
-                        yield pa.RecordBatch.from_arrays([sub.column(0).filter(keep), sub.column(1).filter(keep)], names=["a", "b"])
+            for sub, data_b, off_b in blocks([batch], "text_b"):
+                # each text of the other side once: the joins leave its pairs next to each other
+                _, first, of = np.unique(np.asarray(sub.column(0)), return_index=True, return_inverse=True)
+                head, at = pa.RecordBatch.from_arrays([sub.column(2).take(pa.array(first))], names=["text_a"]), 0
+                for part, data_a, off_a in blocks([head], "text_a"):
+                    own = np.flatnonzero((of >= at) & (of < at + len(part)))
+                    own = own[links(data_a, off_a, of[own] - at, data_b, off_b, own, shingle, percent)]
+                    at += len(part)
+                    if len(own):
+                        keep = pa.array(own)
+                        yield pa.RecordBatch.from_arrays([sub.column(0).take(keep), sub.column(1).take(keep)], names=["a", "b"])
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -389,28 +505,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, miss:
     copies = sets.select("doc_id", "p1", "p2", F.col("n_shingles").alias("n"))
     reps = written(reps)
     texts = own.where("doc_id is not null")
-    tried = written(candidates(reps.select("rep", "n_shingles", F.col("rep").alias("comp"), F.lit(True).alias("search"), "sig", "small"), trees, share))
-    links, most, left = written(_confirm(tried, texts, shingle, percent)), FIRST_LIST, None
-    large = written(large_regions(reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.col("rep").alias("comp"), F.lit(True).alias("search"), "sig", "small"), trees))
-    if not large.limit(1).count():
-        large = None
-    while True:
+
+    def known(found: DataFrame | None) -> DataFrame:
+        rows = reps.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "sig", "small")
+        if found is None:
+            return rows.withColumn("comp", F.col("id"))
+        found = found.select(F.col("id").alias("_id"), "component")
+        return rows.join(found, rows["id"] == found["_id"], "left").select("id", "n", "sig", "small", F.coalesce("component", "id").alias("comp"))
+
+    tried = written(first_candidates(known(None), trees, share))
+    links = written(_confirm(tried, texts, shingle, percent))
+    so_far = components(links)
+    lists = written(listed_candidates(known(so_far), trees, share))
+    pairs = lists.select("a", F.explode("others").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    released(docs.sparkSession)
+    new = written(_confirm(pairs.join(tried, ["a", "b"], "left_anti"), texts, shingle, percent))
+    if new.limit(1).count():
+        links = links.union(new)
         so_far = components(links)
-        again = reps.join(so_far, reps["rep"] == so_far["id"], "left")
-        if left is not None:  # only rows whose lists were cut short search on
-            again = again.join(left.select(F.col("a").alias("_l")), F.col("rep") == F.col("_l"), "left")
-        search = F.lit(True) if left is None else F.col("_l").isNotNull()
-        lists = written(candidates(again.select("rep", "n_shingles", F.coalesce("component", "rep").alias("comp"), search.alias("search"), "sig", "small"), trees, share, most, large))
-        pairs = lists.select("a", F.explode("others").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = written(_confirm(more, texts, shingle, percent))
-        left, linked = lists.where("cut"), bool(new.limit(1).count())
-        links, tried, most = links.union(new), tried.union(more), most * (2 if linked else 8)
-        if not left.limit(1).count():
-            break
+    marked = lists.where("cut")
+    if marked.limit(1).count():
+        near = written(region_links(known(so_far), marked, texts, trees, shingle, percent))
         released(docs.sparkSession)
-    if linked:
-        so_far = components(links)
+        new = written(_confirm(near, texts, shingle, percent))
+        if new.limit(1).count():
+            links = links.union(new)
+            so_far = components(links)
     heads = reps.select("p1", "p2", F.col("n_shingles").alias("n"), "rep")
     joined = written(copies.join(heads, ["p1", "p2", "n"]).select("doc_id", "rep"))
     # an id that repeats with several texts ties their representatives

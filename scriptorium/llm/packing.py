@@ -31,9 +31,10 @@ from ._words import blocks, cached
 
 
 class Encoder:
-    """Ids of a byte-level BPE vocabulary in the JSON format of ``tokenizers``, special tokens taken
-    as ordinary text. The merges run in tiktoken's engine, which gives the same ids faster (tests
-    compare them); a text that engine refuses goes through ``tokenizers``."""
+    """Ids of a byte-level BPE vocabulary in the JSON format of ``tokenizers``; a text's special strings
+    are special tokens there and here. The merges run in tiktoken's engine, which gives the same ids
+    faster (tests compare them); a text that engine refuses, and all texts of a vocabulary whose special
+    tokens take white space or words around them along, go through ``tokenizers``."""
 
     #: Fixed value: the byte-level pre-tokenizer's pattern.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,23 +47,24 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-        special = {x["content"] for x in spec["added_tokens"]}
+        special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.path, self.slow = path, None
-        self.fast = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.slow, self.special = path, None, set(special)
+        greedy = any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in spec["added_tokens"])
+        self.fast = None if greedy else tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> list[int]:
-        try:
-            return self.fast.encode_ordinary(text)
-        except BaseException as e:  # the engine's panics aren't Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            if self.slow is None:
-                from tokenizers import Tokenizer
-
-                self.slow = Tokenizer.from_file(self.path)
-                self.slow.encode_special_tokens = True
-            return self.slow.encode(text, add_special_tokens=False).ids
+        if self.fast:
+            try:
+                return self.fast.encode(text, allowed_special=self.special, disallowed_special=())
+            except BaseException as e:  # the engine's panics aren't Exceptions
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def encoder(path: str) -> Encoder:

@@ -18,7 +18,8 @@ one row for each group and bucket, and summed up inside the group first. Steps:
 4. Each group gets the first documents of its segments' windows, and removes the windows whose first
    document is smaller than their own.
 
-Words are compared by 64-bit hashes of their bytes, segments by 128 bits. An anchor with very many
+Windows are compared by their words: a shard numbers its distinct words. Anchors are 64-bit hashes and
+only choose the shard; copies of a segment are recognised by 128 bits. An anchor with very many
 different segments makes its shard larger, but never by copies of a segment within a group.
 
 Edge cases: a null or empty text has no words; a text of fewer words than a window is kept; windows
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import discard, released, written
-from ._words import BLOCK_BYTES, U, Words, _powers, blocks, mix, run_hash
+from ._words import BLOCK_BYTES, U, Words, blocks, mix, run_hash
 
 GRAM = 4
 
@@ -72,12 +73,17 @@ def segments(data: np.ndarray, off: np.ndarray, window: int) -> tuple[Words, np.
 
 
 def segment_keys(w: Words, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each run of words."""
-    up, down = _powers(w.n + 1)
-    out = []
-    for salt in (U(0x2545F4914F6CDD1D), U(0xD1342543DE82EF95)):
-        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(w.hash ^ salt) * up[: w.n], dtype=U)])
-        out.append(mix((total[begin + size] - total[begin]) * down[begin] + size.astype(U) * salt))
+    """Two 64-bit hashes of each run of words: the sums of its words, each mixed with its place."""
+    out = np.zeros((2, len(begin)), U)
+    ends, i = np.concatenate([[0], np.cumsum(size)]), 0
+    while i < len(begin):  # in blocks: runs overlap
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 20), "right")) - 1)
+        first = ends[i:j] - ends[i]
+        place = np.arange(ends[j] - ends[i]) - np.repeat(first, size[i:j])
+        own = mix(w.hash[np.repeat(begin[i:j], size[i:j]) + place] ^ mix(place.astype(U) * U(0x9E3779B97F4A7C15)))
+        for k, salt in enumerate((U(0x2545F4914F6CDD1D), U(0xD1342543DE82EF95))):
+            out[k, i:j] = mix(np.add.reduceat(mix(own ^ salt), first) + size[i:j].astype(U) * salt)
+        i = j
     return out[0], out[1]
 
 
@@ -154,7 +160,7 @@ class FMIndex:
 
 
 def first_documents(words: np.ndarray, bounds: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
-    """words: hashes of the segments' words, one segment after the other; owner: of each segment, its
+    """words: codes of the segments' words, one segment after the other; owner: of each segment, its
     smallest document. For each window of each segment, in order, the smallest document that has it."""
     sizes = np.diff(bounds)
     known, code = np.unique(words, return_inverse=True)
@@ -307,21 +313,24 @@ def _answer(window: int):
             code = np.empty(len(k1), np.int64)
             code[order] = np.cumsum(new) - 1
             owner, top = np.minimum.reduceat(lo[order], first), order[first]
-            # the words of the distinct segments, hashed in blocks: only their hashes are kept
+            # the words of the distinct segments, coded in blocks: equal codes are equal words
+            known: dict[bytes, int] = {}
             off = np.concatenate([[0], np.cumsum(sizes)])
             n = sizes[top]
-            ends, hashes, bounds, i = np.concatenate([[0], np.cumsum(n)]), [], [np.zeros(1, np.int64)], 0
+            ends, codes, bounds, i = np.concatenate([[0], np.cumsum(n)]), [], [np.zeros(1, np.int64)], 0
             while i < len(top):
                 j = min(len(top), max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK_BYTES, "right")) - 1))
                 own = n[i:j]
                 take = np.repeat(off[top[i:j]], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
                 w = Words(data[take], ends[i : j + 1] - ends[i])
-                hashes.append(w.hash)
+                code_of, distinct = w.codes()
+                own_codes = np.array([known.setdefault(x, len(known)) for x in distinct], np.int64)
+                codes.append(own_codes[code_of])
                 bounds.append(w.first[1:] + bounds[-1][-1])
                 i = j
-            del data, take, w
-            hashes, bounds = np.concatenate(hashes), np.concatenate(bounds)
-            least = first_documents(hashes, bounds, owner, window)
+            del data, take, w, known, distinct
+            codes, bounds = np.concatenate(codes), np.concatenate(bounds)
+            least = first_documents(codes, bounds, owner, window)
             count = np.maximum(0, np.diff(bounds) - window + 1)
             begin = np.concatenate([[0], np.cumsum(count)])
             smallest = np.minimum.reduceat(least, begin[:-1])  # every segment has a window
