@@ -36,16 +36,36 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove(table(spark, sf_dir, "documents"), window=13)
 
 
+def unescaped(text) -> F.Column:
+    """The five character references that plain text needs, decoded."""
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(ref), F.lit(char))
+    return text
+
+
 #: Fixed values of the query's contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
+#: Characters of a document that a page's headline repeats, and shares of a headline that many pages have.
+HEADLINE, SALTS = 60, 8
+
+
+def page_labels(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """url, bad: a page shows the documents that its headline begins; one of them of low quality or
+    toxic makes it bad. Pages without a labelled document are left out."""
+    bad = labels.select(F.col("doc_id").alias("_id"), F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False)).alias("bad"))
+    told = documents.select("doc_id", F.left("text", F.lit(HEADLINE)).alias("headline")).join(bad, F.col("doc_id") == F.col("_id"))
+    told = told.where("headline <> ''").groupBy("headline").agg(F.max("bad").alias("bad")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shown = pages.select("url", unescaped(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)).alias("headline"), F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"))
+    return shown.join(told, ["headline", "salt"]).select("url", "bad")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of a page: those of the document with its number; low quality or toxic is bad."""
+    """Labelled urls: those the explicit rules decide, and for the others the labels of what they show."""
     pages = table(spark, sf_dir, "pages")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
-    labelled = pages.select("page_id", "url").join(labels, pages["page_id"] == labels["doc_id"]).select("url", "bad")
-    return urls.judge(pages, labelled, URL_RULES)
+    told = page_labels(pages.where(urls.explicit(urls.host_of(F.col("url")), urls.path_of(F.col("url")), URL_RULES)[1].isNull()), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return urls.judge(pages, urls.verdicts(pages, URL_RULES).unionByName(told), URL_RULES)
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

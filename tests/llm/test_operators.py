@@ -264,10 +264,9 @@ def test_tokenizer_matches(sf, spark):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(tokenizer())
-    slow.encode_special_tokens = True
     own = packing.Encoder(tokenizer())
     some = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
-    some += ["", " ", "<|endoftext|> x", "日本語 テスト　x", "a" * 3000, " " * 3000, "it's I'LL we've\r\n\t x ", "👩‍👩‍👧 é é   \x1c\x85 ½ ²³ ०१"]
+    some += ["", " ", "<|endoftext|> x", "<|endoftext|>", "x <|endoftext|>", "a  <|endoftext|>\n<|endoftext|> b", "<|endoftext", "日本語 テスト　x", "a" * 3000, " " * 3000, "it's I'LL we've\r\n\t x ", "👩‍👩‍👧 é é   \x1c\x85 ½ ²³ ०१"]
     for t in some:
         assert own(t) == slow.encode(t, add_special_tokens=False).ids
 
@@ -391,7 +390,7 @@ def test_url_mining(spark):
         bad = (host, part) == ("casino", "win") or (part == "sale" and rng.random() < 0.5)
         rows.append((i, f"http://{host}.org/{part}/{rng.randrange(99)}", bad))
     pages = spark.createDataFrame(rows, "page_id bigint, url string, bad boolean")
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, pages, [("allow", "none/")], 0.01, 0.8).collect()}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, pages, [("allow", "none/")], 0.8).collect()}
     assert all((got[i] == "block") == ("casino.org/win" in u) for i, u, _ in rows)
     sets = [(tuple(r["t"]), r["bad"]) for r in pages.select(urls.tokens_of(F.col("url")).alias("t"), "bad").collect()]
     count, ill = Counter(), Counter()
@@ -402,7 +401,7 @@ def test_url_mining(spark):
                 ill[c] += b
     rules = {c: ill[c] / count[c] for c in count if ill[c] >= 20 and ill[c] / count[c] >= 0.8}
     rules = {c: x for c, x in rules.items() if not any(set(d) < set(c) and y >= x for d, y in rules.items())}
-    mined = urls.mine(pages.select(urls.tokens_of(F.col("url")).alias("tokens"), "bad"), 0.01, 0.8)
+    mined = urls.mine(pages.select(urls.tokens_of(F.col("url")).alias("tokens"), "bad"), 0.8, 20, 1.0)
     assert {tuple(r["tokens"]): (r["support"], round(r["confidence"], 9)) for r in mined.collect()} == {c: (ill[c], round(x, 9)) for c, x in rules.items()}
 
 
