@@ -19,9 +19,12 @@ def bounded(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, else one of our own (local tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where driver and executors are one machine
+    (local mode), a temporary folder does if it is unset; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='scriptorium-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

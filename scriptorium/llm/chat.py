@@ -102,7 +102,7 @@ def conversations(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "
 
     def run(batches):
         now, own, out = None, [], []
-        schema = pa.schema([("conv_id", kind), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        schema = pa.schema([("conv_id", kind), ("formatted", pa.string()), ("loss_spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
         def done():
             formatted, spans = render(fold(own))
@@ -123,7 +123,7 @@ def conversations(events: DataFrame, conv_col: str = "conv_id", seq_col: str = "
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return log.mapInArrow(run, f"conv_id {log.schema['conv_id'].dataType.simpleString()}, formatted string, loss_spans array<struct<start:int,end:int>>")
+    return log.mapInArrow(run, f"conv_id {log.schema['conv_id'].dataType.simpleString()}, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ from ._words import U, Words, blocks
 DEPTH = 5
 END = 0xFF  # of no UTF-8 text; also stands before a text's first byte
 END_WORD = U(0x8A5CD789635D2DFF)
+#: As many as there are pairs of context bytes, by which grams are dealt.
+MOST_BUCKETS = 1 << 16
 PAIR = U(32)  # bits below a gram's last two context bytes
 
 
@@ -335,7 +337,7 @@ def score(docs: DataFrame, train: Column, keep: dict[str, Column] | None = None,
     spark, keep = docs.sparkSession, keep or {}
     size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
     groups = max(1, (size[0] or 0) // group_bytes, size[1] // 20_000)
-    buckets = min(1024, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 4))
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 4))
     own = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in keep.items()), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     own = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)))
     sent = written(own.select("grp", "train", "text").groupBy("grp").applyInArrow(_send(buckets), SENT))

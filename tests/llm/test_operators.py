@@ -362,6 +362,36 @@ def test_html_embedded(mark):
     assert html.extract(f"<article><p>a {mark} c</p><p>b</p></article>", None).split() == ["a", "c", "b"]
 
 
+LONG = "word " * 40
+
+
+def lines(page):
+    return html.extract(page, None).split("\n")
+
+
+def test_html_keeps_the_article():
+    """Sections whose names may mean other things, headlines in an article's header, headings with ids,
+    nested sections, a long quotation."""
+    head = f"<body><header><p>Site</p></header><article><header><h1>Head</h1></header><p>lead</p><section class=intro><p>{LONG}</p></section>"
+    more = f'<section class="discussion"><h2 id="discussion">Discussion</h2><p>Main finding</p></section><section class="related-work"><h2>Related</h2><p>Others</p></section><section class=body><p>{LONG * 4}</p><blockquote>{LONG * 9}</blockquote></section>'
+    got = lines(head + more + '<div class="notice"><p>We use this.</p></div><div class="related"><h3>More</h3><ul><li><a href=x>one</a></ul></div><section class="comments"><p>c</p></section></article><footer><p>f</p></footer>')
+    assert got == ["Head", "lead", LONG.strip(), "Discussion", "Main finding", "Related", "Others", (LONG * 4).strip(), (LONG * 9).strip()]
+
+
+def test_html_wrappers():
+    """A wrapper gives way to the container that holds most of it; one with text of its own doesn't."""
+    got = lines(f"<body><div class=wrap><div class=teaser>other</div><div class=content><h1>T {LONG}</h1><p>{LONG}</p><div class=s>{LONG * 4}</div></div></div><p>tail</p>")
+    assert got == [f"T {LONG}".strip(), LONG.strip(), (LONG * 4).strip()]
+
+
+def test_html_votes(spark):
+    """Votes by host against a count; of equal votes the longer path wins, then the one that sorts last."""
+    page = "<body><div class={}><p>" + LONG + "</p></div>"
+    rows = [("http://a.org/1", page.format("one")), ("http://a.org/2", page.format("two")), ("http://b.org/1", page.format("one")), ("http://b.org/2", page.format("longer")), ("http://c.org/1", page.format("x1")), ("http://c.org/2", page.format("x22")), ("http://c.org/3", page.format("zz")), (None, None)]
+    got = {r["host"]: (r["path"], r["votes"]) for r in html.host_paths(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {"a.org": ("body>div.two", 10**6), "b.org": ("body>div.longer", 10**6), "c.org": ("body>div.x#", 2 * 10**6)}
+
+
 def test_html_consensus(spark):
     """A page whose own best container is another is read by its host's path."""
     good = "<body><div class=main><p>{}</p></div><div class=other><p>{}</p></div>"

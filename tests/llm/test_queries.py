@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 import zlib
@@ -11,8 +12,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from scriptorium.llm import queries
+from scriptorium.llm import language, queries
 
+from . import brute
 from .test_operators import brute_components, check_packing, low, words
 
 
@@ -55,15 +57,55 @@ def test_op3(spark, sf):
 
 
 def test_op6(spark, sf):
+    """Rules, and the verdicts of what no explicit rule decides, from all combinations of tokens; on tables
+    that have enough pages for rules."""
+    sf = sf.replace("sf0.001", "sf0.01")
     got = {r["page_id"]: r for r in queries.op6_url_filter(spark, sf).collect()}
-    for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect():
+    labels = {r["doc_id"]: bool(r["toxic"] == 1 or r["quality"] == 0) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    told: dict[str, bool] = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r["doc_id"] in labels and r["text"]:
+            head = r["text"][:60]
+            told[head] = told.get(head, False) or labels[r["doc_id"]]
+
+    def tokens(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url or "")
+        if not m:
+            return ()
+        plain = lambda x: re.sub(r"\d+", "#", x.lower())
+        parts = ["h:" + plain(x) for x in low(m[1]).split(".")] + ["p:" + plain(x) for x in m[2].split("/")] + ["q:" + x.split("=")[0].lower() for x in re.split("[&;]", m[3] or "")]
+        return tuple(sorted({x for x in parts if len(x) > 2}))
+
+    count, ill, n, n_bad, mine = Counter(), Counter(), 0, 0, {}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"] or "")
         host, path = (low(m[1]), m[2]) if m else ("", "")
         fits = [(len(rule), rule, act) for act, rule in queries.URL_RULES for h, _, p in [rule.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
         _, rule, act = max(fits, default=(0, None, None))
         own = got[r["page_id"]]
         assert (own["host"], own["path"], own["rule"]) == (host, path, rule)
-        assert own["verdict"] == (act or ("block" if own["mined"] else "allow"))
+        if act:
+            assert own["verdict"] == act and own["mined"] is None
+        else:
+            mine[r["page_id"]] = set(tokens(r["url"]))
+        headline = re.search("(?s)<h1>(.*?)</h1>", r["html"])
+        bad = act == "block" if act else told.get(html.unescape(headline[1])) if headline else None
+        if bad is not None and tokens(r["url"]):
+            n, n_bad = n + 1, n_bad + bad
+            for k in range(1, len(tokens(r["url"])) + 1):
+                for c in itertools.combinations(tokens(r["url"]), k):
+                    count[c] += 1
+                    ill[c] += bad
+    least = max(0.8, 1.2 * n_bad / n)
+    rules = {c: ill[c] / count[c] for c in count if ill[c] >= 20 and ill[c] / count[c] >= least}
+    rules = {c: x for c, x in rules.items() if not any(set(d) < set(c) and y >= x for d, y in rules.items())}
+    assert rules
+    blocked = 0
+    for i, own in mine.items():
+        want = max(((x, " ".join(c)) for c, x in rules.items() if set(c) <= own), default=(0, None))[1]
+        assert (got[i]["mined"], got[i]["verdict"]) == (want, "block" if want else "allow")
+        blocked += want is not None
+    assert blocked
 
 
 def test_op8(spark, sf, docs):
@@ -79,6 +121,19 @@ def test_op9(spark, sf, docs):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in got.items())
     held = [i for i, r in got.items() if r["held_out"]]
     assert sum(got[i]["lang_pred"] == docs[i]["lang"] for i in held) >= 0.95 * len(held)
+    # a plain greedy parse of the same samples, for texts that it can do in time
+    learnt = spark.read.parquet(f"{sf}/documents.parquet").where(language.fold() != 0)
+    samples = language.fit(learnt)
+    for i, r in docs.items():
+        if i % 3 or len(r["text"] or "") > 2000:
+            continue
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0)
+            continue
+        parts = brute.stretches(brute.classes(r["text"]))
+        bits = sorted((sum(brute.phrases(x, known) for x in parts) * math.log2(len(known)), name) for name, known in samples.items())
+        assert got[i]["lang_pred"] == bits[0][1]
+        assert got[i]["score"] == pytest.approx(1 - bits[0][0] / bits[1][0])
 
 
 def test_op10(spark, sf, docs):
