@@ -34,12 +34,17 @@ def assign_keys(refs: DataFrame, *scope: str) -> DataFrame:
     """A base key that is alone stays; otherwise every record of it, the first too, gets a suffix in
     order of appearance. A suffixed key may equal another base key; that is kept.
 
-    The size of a base key's group is summed before the shuffle; the ranks are a window by base key.
+    Base keys are counted with partial aggregation; only records whose base key repeats are ranked, each
+    base key by itself.
     """
     keyed = with_base_key(refs)
-    own = Window.partitionBy(*scope, "base")
-    keyed = keyed.withColumn("group_size", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("pos")) - 1)
-    return keyed.withColumn("key", F.when(F.col("group_size") == 1, F.col("base")).otherwise(F.concat("base", T.suffix(F.col("rank")))))
+    by = [*scope, "base"]
+    sizes = keyed.groupBy(*by).agg(F.count("*").alias("group_size"))
+    sized = keyed.join(sizes, by)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1
+    alone = sized.where("group_size = 1").withColumn("rank", F.lit(0)).withColumn("key", F.col("base"))
+    several = sized.where("group_size > 1").withColumn("rank", rank)
+    return alone.unionByName(several.withColumn("key", F.concat("base", T.suffix(F.col("rank")))))
 
 
 def dedup_refs(refs: DataFrame, *order: str) -> DataFrame:
@@ -79,10 +84,10 @@ def merge_refs(base: DataFrame, new: DataFrame) -> DataFrame:
     return out.select("pos", "key", F.coalesce("base_key", "new_key").alias("final_key"), status.alias("status"))
 
 
-def author_year_index(refs: DataFrame) -> DataFrame:
-    """surname (lower case), year -> keys in order of position. A record without an author is found by
-    the surname its title begins with; one without a year isn't listed."""
+def author_year_index(refs: DataFrame, *scope: str) -> DataFrame:
+    """scope, surname (lower case), year -> keys in order of position. A record without an author is found
+    by the surname its title begins with; one without a year isn't listed."""
     surname = F.lower(F.trim(F.coalesce(T.clean(F.col("family")), T.raw_leading_surname(F.col("title")))))
     own = refs.withColumn("surname", surname).where("year is not null and surname <> ''")
     keys = F.transform(F.array_sort(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"])
-    return own.groupBy("surname", "year").agg(keys.alias("keys"))
+    return own.groupBy(*scope, "surname", "year").agg(keys.alias("keys"))

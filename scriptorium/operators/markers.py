@@ -8,23 +8,40 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+# How body text writes markers.
+_NUMBERS = r"[0-9][0-9\s,‒–—-]*"
+NUMERIC = rf"\{{\[\}}({_NUMBERS})\{{\]\}}"
+SUPERSCRIPT = rf"\\textsuperscript\{{({_NUMBERS})\}}"
+SECTION = r"\\(?:sub)*section\*?\{[^}]*\}"
+AUTHOR_YEAR = r"(\([A-Z][A-Za-zÀ-ɏ.'`-]*(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-zÀ-ɏ.'`-]*)?\s*,?\s+(?:18|19|20)\d{2}[a-z]?\))"
+TEMPORARY = r"((?:\\\{[^{}]*?\\#[0-9]+[^{}]*?\\\})+)"
+_PAIR = r"([A-Z][A-Za-zÀ-ɏ.'`-]*)[^0-9]*?((?:18|19|20)\d{2})"
+
+
+def _shared(df: DataFrame, ids: tuple[str, ...]) -> list[str]:
+    """The ids that a table of references has: those of its own document, else it is for all documents."""
+    return [c for c in ids if c in df.columns]
+
+
 def resolve_numeric(markers: DataFrame, numbered: DataFrame, *ids: str) -> DataFrame:
-    """markers: ids and marker ('[3-5,8]'); numbered: number, key (a number's last key counts) ->
-    ids, keys (ordered, once each), missing (numbers without a key)."""
-    lookup = numbered.groupBy("number").agg(F.max_by("key", "pos").alias("key"))
+    """markers: ids and marker ('[3-5,8]'); numbered: number, key (a number's last key counts), and ids
+    where numbers are those of a document -> ids, keys (ordered, once each), missing (numbers without a
+    key)."""
+    own = _shared(numbered, ids)
+    lookup = numbered.groupBy(*own, "number").agg(F.max_by("key", "pos").alias("key"))
     inner = F.regexp_replace("marker", r"^\[|\]$", "")
     each = markers.select(*ids, F.posexplode(T.ordered_distinct_numbers(inner)).alias("_i", "number"))
-    found = each.join(lookup, "number", "left")
+    found = each.join(lookup, [*own, "number"], "left")
     pick = lambda keep, field: F.array_distinct(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("_i", "number", "key"))), keep), lambda x: x[field]))
     return found.groupBy(*ids).agg(pick(lambda x: x["key"].isNotNull(), "key").alias("keys"), pick(lambda x: x["key"].isNull(), "number").alias("missing"))
 
 
 def author_year_markers(texts: DataFrame, index: DataFrame, *ids: str) -> DataFrame:
     """'(Smith et al., 2020)' in text -> ids, surname, year, keys (null: not in the index)."""
-    pattern = r"\(([A-Z][A-Za-zÀ-ɏ.'`-]*)(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-zÀ-ɏ.'`-]*)?\s*,?\s+((?:18|19|20)\d{2})[a-z]?\)"
-    found = texts.select(*ids, F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), 1).alias("s"), F.regexp_extract_all("text", F.lit(pattern), 2).alias("y"))).alias("at", "m"))
-    found = found.select(*ids, "at", F.lower("m.s").alias("surname"), F.col("m.y").alias("year"))
-    return found.join(index, ["surname", "year"], "left")
+    found = texts.select(*ids, F.posexplode(F.regexp_extract_all("text", F.lit(AUTHOR_YEAR), 1)).alias("at", "m"))
+    name, year = F.regexp_extract("m", r"^\(([A-Z][A-Za-zÀ-ɏ.'`-]*)", 1), F.regexp_extract("m", r"((?:18|19|20)\d{2})[a-z]?\)$", 1)
+    found = found.select(*ids, "at", F.lower(name).alias("surname"), year.alias("year"))
+    return found.join(index, [*_shared(index, ids), "surname", "year"], "left")
 
 
 def remap_cite_keys(texts: DataFrame, remap: DataFrame, *ids: str) -> DataFrame:
@@ -49,21 +66,13 @@ def linkage(texts: DataFrame, citations: DataFrame, *ids: str) -> DataFrame:
     return cites.join(wanted, list(ids)).where("cites < citations")
 
 
-# How body text writes markers.
-_NUMBERS = r"[0-9][0-9\s,‒–—-]*"
-NUMERIC = rf"\{{\[\}}({_NUMBERS})\{{\]\}}"
-SUPERSCRIPT = rf"\\textsuperscript\{{({_NUMBERS})\}}"
-SECTION = r"\\(?:sub)*section\*?\{[^}]*\}"
-#: Folding joins neighbours two by two, so this many rounds fold runs of up to 2^ROUNDS markers.
-ROUNDS = 6
-
-
 def fold_joined(text: Column) -> Column:
-    """Two markers of one kind joined by dashes become one marker of the range."""
+    """Markers of one kind joined by dashes, however many, become one marker: what stands between two of
+    them becomes a dash, in one pass."""
     dash = r"\s*[‒–—-]+\s*"
-    for head, tail, new in ((r"\{\[\}", r"\{\]\}", "{[}$1-$2{]}"), (r"\\textsuperscript\{", r"\}", r"\\textsuperscript{$1-$2}")):
-        for _ in range(ROUNDS):
-            text = F.regexp_replace(text, f"{head}({_NUMBERS}){tail}{dash}{head}({_NUMBERS}){tail}", new)
+    for head, tail in ((r"\{\[\}", r"\{\]\}"), (r"\\textsuperscript\{", r"\}")):
+        before = rf"(?<={head}[0-9][0-9\s,‒–—-]{{0,400}})"
+        text = F.regexp_replace(text, f"{before}{tail}{dash}{head}(?={_NUMBERS}{tail})", "-")
     return text
 
 
@@ -106,11 +115,6 @@ def strip_reference_section(text: Column, headings: str) -> Column:
     return F.when(at > 0, F.concat(F.rtrim(F.regexp_replace(F.substring(text, F.lit(1), at - 1), r"\s+$", "")), F.lit("\n"))).otherwise(text)
 
 
-AUTHOR_YEAR = r"(\([A-Z][A-Za-zÀ-ɏ.'`-]*(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-zÀ-ɏ.'`-]*)?\s*,?\s+(?:18|19|20)\d{2}[a-z]?\))"
-TEMPORARY = r"((?:\\\{[^{}]*?\\#[0-9]+[^{}]*?\\\})+)"
-_PAIR = r"([A-Z][A-Za-zÀ-ɏ.'`-]*)[^0-9]*?((?:18|19|20)\d{2})"
-
-
 def link_author_year(texts: DataFrame, index: DataFrame, *ids: str) -> DataFrame:
     r"""Body text with '(Smith et al., 2020)' and runs of temporary citations ('\{Lee, 2004 \#78\}') as
     \cite commands of the keys the index (surname, year, keys) has; what it lacks stays as typed."""
@@ -119,7 +123,7 @@ def link_author_year(texts: DataFrame, index: DataFrame, *ids: str) -> DataFrame
         pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(_PAIR), 1).alias("s"), F.regexp_extract_all("body", F.lit(_PAIR), 2).alias("y"))
         each = matches.select(*ids, "c", F.posexplode(pairs).alias("k", "p"))
         each = each.select(*ids, "c", "k", F.lower(F.regexp_replace("p.s", r"^[.,'`-]+|[.,'`-]+$", "")).alias("surname"), F.col("p.y").alias("year"))
-        found = each.join(index, ["surname", "year"]).groupBy(*ids, "c").agg(F.array_sort(F.collect_list(F.struct("k", "keys"))).alias("f"))
+        found = each.join(index, [*_shared(index, ids), "surname", "year"]).groupBy(*ids, "c").agg(F.array_sort(F.collect_list(F.struct("k", "keys"))).alias("f"))
         return found.select(*ids, "c", F.array_distinct(F.flatten(F.transform("f", lambda x: x["keys"]))).alias("keys"))
 
     own = texts.select(*ids, F.lit("").alias("head"), "text")

@@ -30,55 +30,80 @@ TAGS = [
 ]
 EXIF_IFD, GPS_IFD = 34665, 34853
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-PNG_METADATA = {b"tEXt", b"zTXt", b"iTXt", b"eXIf", b"tIME"}
-
-
-def parts(data: bytes) -> Iterator[tuple[bytes, bytes, bool, bytes | None]]:
-    """(name, bytes, is metadata, EXIF body) of each part; together they are the file up to its end."""
-    if data[:2] == b"\xff\xd8":
-        yield b"SOI", data[:2], False, None
-        at = 2
-        while at + 1 < len(data):
-            if data[at] != 0xFF:
-                raise ValueError(f"no marker at byte {at}")
-            kind = data[at + 1]
-            if kind == 0xFF:
-                at += 1
-            elif kind in (0x01, 0xD8, 0xD9) or 0xD0 <= kind <= 0xD7:
-                yield b"RST", data[at : at + 2], False, None
-                at += 2
-            elif kind == 0xDA:
-                yield b"SOS", data[at:], False, None
-                return
-            else:
-                (size,) = struct.unpack_from(">H", data, at + 2) if at + 4 <= len(data) else (0,)
-                if size < 2 or at + 2 + size > len(data):
-                    raise ValueError(f"impossible length at byte {at}")
-                body = data[at + 4 : at + 2 + size]
-                # applications 1, 3 to 13 and 15 and comments; application 2 unless it is a colour profile
-                meta = kind in (0xE1, 0xEF, 0xFE) or 0xE3 <= kind <= 0xED or kind == 0xE2 and not body.startswith(b"ICC_PROFILE\0")
-                yield b"APP%d" % (kind - 0xE0) if 0xE0 <= kind <= 0xEF else b"%02X" % kind, data[at : at + 2 + size], meta, body[6:] if kind == 0xE1 and body.startswith(b"Exif\0\0") else None
-                at += 2 + size
-        raise ValueError("no scan")
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        yield b"PNG", data[:8], False, None
-        at = 8
-        while at + 8 <= len(data):
-            size, kind = struct.unpack_from(">I4s", data, at)
-            if at + 12 + size > len(data):
-                raise ValueError(f"chunk {kind!r} runs past the end")
-            yield kind, data[at : at + 12 + size], kind in PNG_METADATA, data[at + 8 : at + 8 + size] if kind == b"eXIf" else None
-            at += 12 + size
-            if kind == b"IEND":
-                return
-        raise ValueError("no end chunk")
-    raise ValueError("neither JPEG nor PNG")
+
+# Containers -------------------------------------------------------------------------------------------
+
+
+def _jpeg_stretch(data: bytes, at: int) -> tuple[str, int]:
+    marker = data[at : at + 2]
+    if len(marker) < 2 or marker[0] != 0xFF:
+        raise ValueError(f"JPEG broken off at {at}")
+    code = marker[1]
+    if code == 0xFF:
+        return "padding", at + 1
+    if code == 0xDA:
+        return "pixels", len(data)
+    if code == 0x01 or 0xD0 <= code <= 0xD9:
+        return "mark", at + 2
+    return f"{code:02X}", at + 2 + max(2, int.from_bytes(data[at + 2 : at + 4], "big"))
+
+
+def _png_stretch(data: bytes, at: int) -> tuple[str, int]:
+    return data[at + 4 : at + 8].decode("latin-1"), at + 12 + int.from_bytes(data[at : at + 4], "big")
+
+
+#: Signature -> how a stretch is measured, the kind that ends the file, a stretch's head and tail bytes.
+CONTAINERS = {b"\xff\xd8": (_jpeg_stretch, "pixels", 4, 0), b"\x89PNG\r\n\x1a\n": (_png_stretch, "IEND", 8, 4)}
+#: Kinds of metadata, and what their bodies begin with if they are not (a colour profile stays).
+METADATA = {k: b"" for k in "E1 E3 E4 E5 E6 E7 E8 E9 EA EB EC ED EF FE tEXt zTXt iTXt eXIf tIME".split()} | {"E2": b"ICC_PROFILE\0"}
+#: Kinds that may hold EXIF data, and what stands before it.
+EXIF = {"E1": b"Exif\0\0", "eXIf": b""}
+
+
+def outline(data: bytes) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the file's stretches, its signature first."""
+    found = next((x for x in CONTAINERS if data.startswith(x)), None)
+    if found is None:
+        raise ValueError("not a JPEG or PNG file")
+    measure, last, *_ = CONTAINERS[found]
+    out = [("signature", 0, len(found))]
+    while out[-1][0] != last:
+        at = out[-1][2]
+        kind, end = measure(data, at)
+        if end > len(data) or end <= at:
+            raise ValueError(f"{kind} at {at} is cut off")
+        out.append((kind, at, end))
+    return out
+
+
+def _body(data: bytes, start: int, end: int) -> bytes:
+    head, tail = next(x[2:] for k, x in CONTAINERS.items() if data.startswith(k))
+    return data[start + head : end - tail]
+
+
+def is_metadata(kind: str, body: bytes) -> bool:
+    stays = METADATA.get(kind)
+    return stays is not None and not (stays and body.startswith(stays))
 
 
 def strip(data: bytes) -> tuple[bytes, int]:
-    """The file without metadata parts, and how many there were."""
-    all_parts = list(parts(data))
-    return b"".join(p for _, p, meta, _ in all_parts if not meta), sum(meta for *_, meta, _ in all_parts)
+    """The file without metadata, and how many stretches of it there were."""
+    gone = [(a, b) for kind, a, b in outline(data) if is_metadata(kind, _body(data, a, b))]
+    out, at = [], 0
+    for a, b in [*gone, (outline(data)[-1][2], 0)]:
+        out.append(data[at:a])
+        at = b
+    return b"".join(out), len(gone)
+
+
+def exif_bodies(data: bytes) -> Iterator[bytes]:
+    for kind, a, b in outline(data):
+        body = _body(data, a, b)
+        if kind in EXIF and body.startswith(EXIF[kind]):
+            yield body[len(EXIF[kind]) :]
+
+
+# EXIF -------------------------------------------------------------------------------------------------
 
 
 def _directory(tiff: bytes, at: int, order: str) -> tuple[dict[int, object], int]:
@@ -107,11 +132,15 @@ def _directory(tiff: bytes, at: int, order: str) -> tuple[dict[int, object], int
     return out, struct.unpack_from(order + "I", tiff, after)[0] if after + 4 <= len(tiff) else 0
 
 
-def _degrees(dms: object, ref: object) -> str:
-    if not isinstance(dms, list) or len(dms) != 3:
-        return "?"
-    value = dms[0] + dms[1] / 60 + dms[2] / 3600
-    return f"{-value if str(ref).upper() in ('S', 'W') else value:.5f}"
+def position(gps: dict[int, object]) -> str | None:
+    """Latitude and longitude in signed degrees, if both are whole."""
+    signed = []
+    for value, ref in ((gps.get(2), gps.get(1)), (gps.get(4), gps.get(3))):
+        if not isinstance(value, list) or len(value) != 3:
+            return None
+        degrees = sum(v / 60**k for k, v in enumerate(value))
+        signed.append(-degrees if str(ref).upper() in ("S", "W") else degrees)
+    return ", ".join(f"{x:.5f}" for x in signed)
 
 
 def exif_findings(tiff: bytes) -> Iterator[tuple[str, str, str, str]]:
@@ -126,8 +155,7 @@ def exif_findings(tiff: bytes) -> Iterator[tuple[str, str, str, str]]:
         if isinstance(tags.get(GPS_IFD), int):
             gps = _directory(tiff, tags[GPS_IFD], order)[0]
             if gps:
-                full = gps.get(2) and gps.get(4)
-                yield "gps", "high", f"{_degrees(gps[2], gps.get(1))}, {_degrees(gps[4], gps.get(3))}" if full else "present (partial)", "EXIF/GPSInfo"
+                yield "gps", "high", position(gps) or "a place, not complete", "EXIF/GPSInfo"
         for number, name, category, severity in TAGS:
             if tags.get(number):
                 yield category, severity, f"{name}: {str(tags[number])[:60]}", f"EXIF/{name}"
@@ -149,8 +177,8 @@ def findings(files: DataFrame) -> DataFrame:
             rows = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    for *_, tiff in list(parts(data)):
-                        for category, severity, summary, location in exif_findings(tiff or b""):
+                    for tiff in list(exif_bodies(data)):
+                        for category, severity, summary, location in exif_findings(tiff):
                             rows.append({"doc_id": path, "category": category, "severity": severity, "summary": summary, "location": location, "count": 1, "removable": True})
                 except ValueError as e:
                     rows.append({"doc_id": path, "error": str(e)})

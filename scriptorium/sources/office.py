@@ -167,12 +167,12 @@ def read_facts(files: DataFrame) -> DataFrame:
 
 
 def findings(found: DataFrame) -> DataFrame:
-    """Facts -> doc_id, category, severity, location (the first), count, removable, detail (up to five
-    values)."""
+    """Facts -> doc_id, category, severity, location (the first), count, removable, detail (the distinct
+    values; reports cut them when they are shown)."""
     spark = found.sparkSession
     rules = spark.createDataFrame([*RULES, *((f"property:{n}", s, True) for n, _, s in PROPERTY_RULES)], "category string, severity string, removable boolean")
     real = found.where("not startswith(category, 'property:') or coalesce(value, '') not in ('', '0') or (value = '0' and location <> 'docProps/app.xml')")
-    sums = real.groupBy("doc_id", "category").agg(F.count("*").alias("count"), F.min("location").alias("location"), F.array_join(F.slice(F.sort_array(F.collect_set("value")), 1, 5), ", ").alias("detail"))
+    sums = real.groupBy("doc_id", "category").agg(F.count("*").alias("count"), F.min("location").alias("location"), F.array_join(F.sort_array(F.collect_set("value")), ", ").alias("detail"))
     names = F.create_map(*(F.lit(x) for n, c, _ in PROPERTY_RULES for x in (f"property:{n}", c)))
     return sums.join(F.broadcast(rules), "category").withColumn("category", F.coalesce(names[F.col("category")], "category"))
 
