@@ -26,18 +26,25 @@ def score(title_similarity: Column) -> Column:
 
 def best_match(typed: DataFrame, library: DataFrame, fuzzy: bool = False) -> DataFrame:
     """typed: ref_id, text; library: pos, title, year, family -> ref_id, pos, score of the best entry
-    (ties: the first), for references whose text shares a word with any title.
-
-    Only entries that share a title word (of letters, in lower case) are scored; below the threshold
-    that loses nothing, as year and author alone give 0.4. Library entries that are equal in all that
-    is scored count once, as their first. Words are joined, so a word of very many titles is split by
-    skew handling, and candidates are told apart before any score is computed.
+    (ties: the first), for references that have a candidate.
+
+    Candidates share a title word with the text (of letters, in lower case), or the first word of the
+    surname and a four-digit year: a score at the threshold needs a similar title, or both of those and
+    half a title. With the containment score nothing at the threshold is missed, and what is under it is
+    right if it is not 0.2 or less; with the fuzzy one, titles without an equal word count if surname and
+    year agree, as they must to reach the threshold. Library entries that are equal in all that is scored
+    count once, as their first. Words are joined, so a word of very many titles is split by skew handling,
+    and candidates are told apart before any score is computed.
     """
     entries = library.groupBy("title", "year", "family").agg(F.min("pos").alias("pos"))
     words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"(?U)\W+"), lambda w: w != ""))
-    left = typed.select("ref_id", F.explode(words(F.col("text"))).alias("_w"))
+    said = typed.select("ref_id", words(F.col("text")).alias("words"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(\d{4}))"), 1)).alias("years"))
+    left = said.select("ref_id", F.explode("words").alias("_w"))
     right = entries.select("pos", F.explode(words(F.col("title"))).alias("_w"))
-    pairs = left.join(right, "_w").select("ref_id", "pos").distinct()
+    by_title = left.join(right, "_w").select("ref_id", "pos")
+    named = entries.select("pos", F.get(words(F.col("family")), F.lit(0)).alias("_w"), F.col("year").alias("_y"))
+    by_author = said.select("ref_id", "words", F.explode("years").alias("_y")).select("ref_id", "_y", F.explode("words").alias("_w")).join(named, ["_w", "_y"]).select("ref_id", "pos")
+    pairs = by_title.union(by_author).distinct()
     pairs = pairs.join(typed, "ref_id").join(entries, "pos")
     title = similarity("token_set", F.col("title"), F.col("text")) if fuzzy else containment(F.col("title"), F.col("text"))
     scored = pairs.select("ref_id", "pos", F.round(score(title), 9).alias("score"))

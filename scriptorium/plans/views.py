@@ -19,7 +19,7 @@ FROM part"""
 TYPED = """
 SELECT p_partkey AS ref_id, CASE WHEN p_partkey % 4 = 1 THEN 'Nobody' ELSE p_type END || ', B. ' || CASE WHEN p_partkey % 6 = 2 THEN upper(p_name) ELSE p_name END
   || ' ' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE ' (' || CAST(1990 + p_size % 5 AS {string}) || ').' END AS text
-FROM part WHERE p_partkey % 3 = 1"""
+FROM part"""
 
 #: The total order of a document's line items.
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
