@@ -22,15 +22,15 @@ IN_TABLE_WIDTH = "3cm"
 WEB_IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml"}
 
 
-def substitute(texts: DataFrame, pattern: str, shown: Callable[[DataFrame], DataFrame], *ids: str) -> DataFrame:
-    """Every match of the pattern through ``shown``: (ids, c, number) -> (ids, c, new); a match it gives
-    nothing for stays. -> ids, text."""
-    parts = texts.select(*ids, F.split("text", pattern).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("raw"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("numbers"))
-    each = parts.select(*ids, F.posexplode("numbers").alias("c", "number")).withColumn("number", F.col("number").try_cast("int"))
-    new = shown(each).groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("c", "new"))).alias("new"))
-    out = parts.join(new, list(ids), "left").withColumn("new", F.coalesce("new", F.create_map().cast("map<int,string>")))
-    put = F.transform("raw", lambda r, i: F.coalesce(F.element_at("new", i), r))
-    return out.select(*ids, F.array_join(F.zip_with("plain", put, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "").alias("text"))
+def substitute(texts: DataFrame, pattern: str, shown: Callable[[DataFrame], DataFrame], by: str) -> DataFrame:
+    """Every match of the pattern through ``shown``, which adds ``new`` to rows of (by, c, plain, raw,
+    number); null stays as it was. A text is cut into pieces once and put together once. -> by, text."""
+    piece = F.arrays_zip(F.split("text", pattern).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("raw"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("number"))
+    rows = texts.select(by, F.posexplode_outer(piece).alias("c", "p"))
+    each = rows.select(by, "c", F.col("p.plain").alias("plain"), F.col("p.raw").alias("raw"), F.col("p.number").try_cast("int").alias("number"))
+    put = F.concat("plain", F.when(F.col("raw").isNull(), "").otherwise(F.coalesce("new", "raw")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", put.alias("t")))), lambda x: x["t"]), "")
+    return shown(each).groupBy(by).agg(F.when(F.max("c").isNotNull(), whole).alias("text"))
 
 
 def figure_block(path: Column, caption: Column, env: Column) -> Column:
@@ -47,7 +47,7 @@ def place_figures(texts: DataFrame, figures: DataFrame, single: str = "figure",
         one = F.when(F.col("in_table"), F.concat(F.lit(f"\\includegraphics[width={IN_TABLE_WIDTH}]{{"), "path", F.lit("}"))).otherwise(figure_block(F.col("path"), F.col("caption"), F.when(F.col("wide"), wide).otherwise(single)))
         number = F.col("number").cast("string")
         lost = F.concat(F.lit("% WARNING: no figure "), number, F.lit("\n\\textbf{[UNRESOLVED FIGURE "), number, F.lit("]}"))
-        return each.join(figures, [by, "number"], "left").select(by, "c", F.when(F.col("path").isNull(), lost).otherwise(one).alias("new"))
+        return each.join(figures, [by, "number"], "left").withColumn("new", F.when(F.col("path").isNull(), lost).otherwise(one))
 
     for pattern in (WRAPPED_FIGURE, BARE_FIGURE):
         texts = substitute(texts, pattern, shown, by)
@@ -68,7 +68,7 @@ def place_citations(texts: DataFrame, citations: DataFrame, *, by: str = "doc_id
         def put(each: DataFrame) -> DataFrame:
             found = each.withColumn("number", F.col("number") - shift).join(known, [by, "number"], "left")
             lost = F.concat(F.lit("% WARNING: no citation "), (F.col("number") + shift).cast("string"), F.lit("\n\\textbf{[UNRESOLVED CITATION]}"))
-            return found.select(by, "c", F.coalesce(F.concat(F.lit("\\cite{"), "keys", F.lit("}")), lost).alias("new"))
+            return found.withColumn("new", F.coalesce(F.concat(F.lit("\\cite{"), "keys", F.lit("}")), lost))
 
         return put
 
@@ -137,14 +137,14 @@ def place_portable(texts: DataFrame, figures: DataFrame, numbers: DataFrame, for
     def cite(shift: int):
         def put(each: DataFrame) -> DataFrame:
             found = each.withColumn("index", F.col("number") - shift).join(numbers.withColumn("index", F.col("index").cast("int")), [by, "index"], "left")
-            return found.select(by, "c", F.when(F.coalesce(F.size("numbers"), F.lit(0)) > 0, citation_mark(F.col("numbers"), form)).otherwise("[?]").alias("new"))
+            return found.withColumn("new", F.when(F.coalesce(F.size("numbers"), F.lit(0)) > 0, citation_mark(F.col("numbers"), form)).otherwise("[?]"))
 
         return put
 
     def figure(each: DataFrame) -> DataFrame:
         found = each.join(figures.withColumn("_known", F.lit(True)), [by, "number"], "left")
         lost = F.concat(F.lit("[UNRESOLVED FIGURE "), F.col("number").cast("string"), F.lit("]"))
-        return found.select(by, "c", F.when(F.col("_known"), figure_mark(form)).otherwise(lost).alias("new"))
+        return found.withColumn("new", F.when(F.col("_known"), figure_mark(form)).otherwise(lost))
 
     texts = substitute(substitute(texts, SENTINEL, cite(0), by), CITATION, cite(1), by)
     return substitute(texts, HTML_FIGURE if form == "html" else BARE_FIGURE, figure, by)

@@ -18,9 +18,18 @@ LINENO, SPACING, ENDFLOAT = "\\usepackage{lineno}\n\\linenumbers\n", "\\usepacka
 CLASS_LINE = r"\\documentclass(?:\[([^\]]*)\])?\{([^}]+)\}"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def class_options(preamble: Column, add: Column, remove: Column) -> Column:
     """The options of the first class line without ``remove`` and with ``add`` at the end, others in their
     order. add and remove: arrays."""
+    return bound(preamble, lambda p: _class_options(p, add, remove))
+
+
+def _class_options(preamble: Column, add: Column, remove: Column) -> Column:
     at = F.regexp_instr(preamble, F.lit(CLASS_LINE))
     line = F.regexp_extract(preamble, CLASS_LINE, 0)
     old = F.filter(F.transform(F.split(F.regexp_extract(preamble, CLASS_LINE, 1), ","), lambda o: F.trim(o)), lambda o: (o != "") & ~F.array_contains(remove, o) & ~F.array_contains(add, o))
@@ -36,7 +45,7 @@ def append(preamble: Column, block: str | Column) -> Column:
 
 def ensure(preamble: Column, pattern: str, block: str) -> Column:
     """The block at the end, unless something matches the pattern."""
-    return F.when(F.rlike(preamble, F.lit(pattern)), preamble).otherwise(append(preamble, block))
+    return bound(preamble, lambda p: F.when(F.rlike(p, F.lit(pattern)), p).otherwise(append(p, block)))
 
 
 def layout_error(columns: Column) -> Column:
@@ -51,10 +60,10 @@ def apply_layout(preamble: Column, document_class: Column, columns: Column, line
     """columns: default, one or two. What the class has an option for is an option, else a package."""
     want = F.when(columns == "one", F.lit(ONE_COLUMN)).when(columns == "two", F.lit(TWO_COLUMNS))
     other = F.when(columns == "one", F.lit(TWO_COLUMNS)).otherwise(F.lit(ONE_COLUMN))
-    out = F.when(want.isNotNull(), class_options(preamble, F.array(want), F.array(other))).otherwise(preamble)
     option, none = _native(document_class, LINE_NUMBERS), F.array().cast("array<string>")
-    out = F.when(~line_numbers, out).when(F.size(option) > 0, class_options(out, option, none)).otherwise(append(out, LINENO))
-    return F.when(double_spacing, append(out, SPACING)).otherwise(out)
+    out = bound(preamble, lambda p: F.when(want.isNotNull(), class_options(p, F.array(want), F.array(other))).otherwise(p))
+    out = bound(out, lambda p: F.when(~line_numbers, p).when(F.size(option) > 0, class_options(p, option, none)).otherwise(append(p, LINENO)))
+    return bound(out, lambda p: F.when(double_spacing, append(p, SPACING)).otherwise(p))
 
 
 def main_preamble(preamble: Column, document_class: Column, columns: Column, line_numbers: Column, double_spacing: Column, figures_at_end: Column) -> Column:
@@ -62,7 +71,7 @@ def main_preamble(preamble: Column, document_class: Column, columns: Column, lin
     says stays."""
     out = apply_layout(ensure(preamble, r"\\usepackage(?:\[[^\]]*\])?\{[^}]*\bhyperref\b", HYPERREF), document_class, columns, line_numbers, double_spacing)
     option, none = _native(document_class, FLOATS_AT_END), F.array().cast("array<string>")
-    out = F.when(~figures_at_end, out).when(F.size(option) > 0, class_options(out, option, none)).otherwise(append(out, ENDFLOAT))
+    out = bound(out, lambda p: F.when(~figures_at_end, p).when(F.size(option) > 0, class_options(p, option, none)).otherwise(append(p, ENDFLOAT)))
     return ensure(out, r"\\(?:raggedbottom|flushbottom)\b", RAGGED)
 
 

@@ -76,30 +76,33 @@ def fold_joined(text: Column) -> Column:
     return text
 
 
-def _rewrite(texts: DataFrame, pattern: str, resolved, ids: tuple[str, ...]) -> DataFrame:
-    r"""Matches of the pattern (one group) as \cite{keys} where ``resolved`` gives keys; others stay.
-    texts: ids, head (kept as it is), text. resolved: DataFrame of ids, c, body -> ids, c, keys."""
-    parts = texts.select(*ids, "head", F.split("text", pattern).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("raw"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("bodies"))
-    found = resolved(parts.select(*ids, F.posexplode("bodies").alias("c", "body")))
-    new = found.where(F.size("keys") > 0).groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("c", F.concat(F.lit("\\cite{"), F.array_join("keys", ","), F.lit("}"))))).alias("new"))
-    out = parts.join(new, list(ids), "left").withColumn("new", F.coalesce("new", F.create_map().cast("map<int,string>")))
-    shown = F.transform("raw", lambda r, i: F.coalesce(F.element_at("new", i), r))
-    whole = F.array_join(F.zip_with("plain", shown, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
-    return out.select(*ids, "head", whole.alias("text"))
+def _rewrite(texts: DataFrame, pattern: str, items, names: tuple[str, ...], lookup: DataFrame, ids: tuple[str, ...]) -> DataFrame:
+    r"""Matches of the pattern (one group) as \cite{keys} where ``lookup`` (names, keys, and ids where it is
+    of one document) gives keys for what ``items`` reads in the group, an array of structs with the names;
+    others stay. texts: ids, head (kept as it is), text. A text is cut into pieces once and put together
+    once."""
+    piece = F.arrays_zip(F.split("text", pattern).alias("plain"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("raw"), F.regexp_extract_all("text", F.lit(pattern), 1).alias("body"))
+    rows = texts.select(*ids, "head", F.posexplode_outer(piece).alias("c", "p"))
+    each = rows.select(*ids, "head", "c", F.col("p.plain").alias("plain"), F.col("p.raw").alias("raw"), F.posexplode_outer(items(F.col("p.body"))).alias("k", "m"))
+    each = each.select(*ids, "head", "c", "plain", "raw", "k", *(F.col("m")[n].alias(n) for n in names))
+    found = each.join(lookup, [*_shared(lookup, ids), *names], "left")
+    listed = F.filter(F.array_sort(F.collect_list(F.struct("k", "keys"))), lambda x: x["keys"].isNotNull())
+    back = found.groupBy(*ids, "c").agg(F.first("head").alias("head"), F.first("plain").alias("plain"), F.first("raw").alias("raw"), F.array_distinct(F.flatten(F.transform(listed, lambda x: x["keys"]))).alias("keys"))
+    put = F.concat("plain", F.when(F.col("raw").isNull(), "").when(F.size("keys") > 0, F.concat(F.lit("\\cite{"), F.array_join("keys", ","), F.lit("}"))).otherwise(F.col("raw")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", put.alias("t")))), lambda x: x["t"]), "")
+    return back.groupBy(*ids).agg(F.first("head").alias("head"), F.when(F.max("c").isNotNull(), whole).alias("text"))
 
 
 def link_numeric(texts: DataFrame, numbered: DataFrame, *ids: str) -> DataFrame:
     r"""Body text with its numeric markers, and its superscript ones from the first section on, as
     \cite commands; what no reference has a number for stays as typed. ids, text."""
-
-    def resolved(matches):
-        return resolve_numeric(matches.withColumn("marker", F.col("body")), numbered, *ids, "c").select(*ids, "c", "keys")
-
+    lookup = numbered.groupBy(*_shared(numbered, ids), "number").agg(F.array(F.max_by("key", "pos")).alias("keys"))
+    items = lambda body: F.transform(T.ordered_distinct_numbers(body), lambda n: F.struct(n.alias("number")))
     own = texts.select(*ids, F.lit("").alias("head"), fold_joined(F.col("text")).alias("text"))
-    own = _rewrite(own, NUMERIC, resolved, ids)
+    own = _rewrite(own, NUMERIC, items, ("number",), lookup, ids)
     start = F.when(F.rlike("text", F.lit(SECTION)), F.regexp_instr("text", F.lit(SECTION)) - 1).otherwise(0)
     own = own.select(*ids, F.substring("text", F.lit(1), start).alias("head"), F.substring("text", start + 1, F.length("text")).alias("text"))
-    own = _rewrite(own, SUPERSCRIPT, resolved, ids)
+    own = _rewrite(own, SUPERSCRIPT, items, ("number",), lookup, ids)
     return own.select(*ids, F.concat("head", "text").alias("text"))
 
 
@@ -119,14 +122,11 @@ def link_author_year(texts: DataFrame, index: DataFrame, *ids: str) -> DataFrame
     r"""Body text with '(Smith et al., 2020)' and runs of temporary citations ('\{Lee, 2004 \#78\}') as
     \cite commands of the keys the index (surname, year, keys) has; what it lacks stays as typed."""
 
-    def resolved(matches):
-        pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(_PAIR), 1).alias("s"), F.regexp_extract_all("body", F.lit(_PAIR), 2).alias("y"))
-        each = matches.select(*ids, "c", F.posexplode(pairs).alias("k", "p"))
-        each = each.select(*ids, "c", "k", F.lower(F.regexp_replace("p.s", r"^[.,'`-]+|[.,'`-]+$", "")).alias("surname"), F.col("p.y").alias("year"))
-        found = each.join(index, [*_shared(index, ids), "surname", "year"]).groupBy(*ids, "c").agg(F.array_sort(F.collect_list(F.struct("k", "keys"))).alias("f"))
-        return found.select(*ids, "c", F.array_distinct(F.flatten(F.transform("f", lambda x: x["keys"]))).alias("keys"))
+    def items(body: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(_PAIR), 1).alias("s"), F.regexp_extract_all(body, F.lit(_PAIR), 2).alias("y"))
+        return F.transform(pairs, lambda p: F.struct(F.lower(F.regexp_replace(p["s"], r"^[.,'`-]+|[.,'`-]+$", "")).alias("surname"), p["y"].alias("year")))
 
     own = texts.select(*ids, F.lit("").alias("head"), "text")
     for pattern in (AUTHOR_YEAR, TEMPORARY):
-        own = _rewrite(own, pattern, resolved, ids)
+        own = _rewrite(own, pattern, items, ("surname", "year"), index, ids)
     return own.select(*ids, "text")

@@ -34,8 +34,10 @@ def best_match(typed: DataFrame, library: DataFrame, fuzzy: bool = False) -> Dat
     right if it is not 0.2 or less; with the fuzzy one, titles without an equal word count if surname and
     year agree, as they must to reach the threshold. Library entries that are equal in all that is scored
     count once, as their first. Words are joined, so a word of very many titles is split by skew handling,
-    and candidates are told apart before any score is computed.
+    and candidates are told apart before any score is computed. Equal texts are matched once.
     """
+    texts = typed.groupBy("text").agg(F.min("ref_id").alias("_rep"))
+    members, typed = typed.select("ref_id", "text").join(texts, "text").select("ref_id", "_rep"), texts.select(F.col("_rep").alias("ref_id"), "text")
     entries = library.groupBy("title", "year", "family").agg(F.min("pos").alias("pos"))
     words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"(?U)\W+"), lambda w: w != ""))
     said = typed.select("ref_id", words(F.col("text")).alias("words"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(\d{4}))"), 1)).alias("years"))
@@ -49,7 +51,8 @@ def best_match(typed: DataFrame, library: DataFrame, fuzzy: bool = False) -> Dat
     title = similarity("token_set", F.col("title"), F.col("text")) if fuzzy else containment(F.col("title"), F.col("text"))
     scored = pairs.select("ref_id", "pos", F.round(score(title), 9).alias("score"))
     best = F.max(F.struct("score", (-F.col("pos")).alias("p"))).alias("b")
-    return scored.groupBy("ref_id").agg(best).select("ref_id", (-F.col("b.p")).alias("pos"), F.col("b.score").alias("score"))
+    found = scored.groupBy(F.col("ref_id").alias("_rep")).agg(best)
+    return members.join(found, "_rep").select("ref_id", (-F.col("b.p")).alias("pos"), F.col("b.score").alias("score"))
 
 
 def reconcile(typed: DataFrame, library: DataFrame, remote: DataFrame, threshold: float = THRESHOLD, fuzzy: bool = False) -> DataFrame:

@@ -102,8 +102,12 @@ def to_latex(cells: DataFrame, captions: DataFrame) -> DataFrame:
     flat = cells.withColumn("text", F.when(F.col("nested").isNotNull(), flatten_nested(F.col("nested"))).otherwise(F.col("text")))
     named = flat.withColumn("_t", F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("table").cast("string")))
     starts = groups.column_starts(named.select("_t", "doc_id", "table", "row", "i", "colspan", "rowspan", "text", "head", "explicit").withColumn("no", F.col("table")).withColumn("table", F.col("_t")))
-    slots = groups.grid(starts.select("table", "row", "i", F.lit(1).alias("colspan"), "rowspan", F.to_json(F.struct("text", "colspan")).alias("text")))
-    shown = slots.select("table", "row", "col", F.from_json("text", "text string, colspan int").alias("c"))
+    merged = starts.groupBy("table").agg(F.max("rowspan").alias("most")).where("most > 1").select("table")
+    one = F.struct("text", "colspan").alias("c")
+    plain = starts.join(merged, "table", "left_anti").select("table", "row", F.col("i").cast("int").alias("col"), one)
+    # row spans are carried on by a state for each table; only tables that have any go there
+    slots = groups.grid(starts.join(merged, "table", "left_semi").select("table", "row", "i", F.lit(1).alias("colspan"), "rowspan", F.to_json(one).alias("text")))
+    shown = plain.unionByName(slots.select("table", "row", "col", F.from_json("text", plain.schema["c"].dataType).alias("c")))
     span, body = F.col("c.colspan"), T.escape_latex(F.trim(F.coalesce(F.col("c.text"), F.lit(""))))
     cell = F.when(span > 1, F.concat(F.lit("\\multicolumn{"), span.cast("string"), F.lit("}{c}{"), body, F.lit("}"))).otherwise(body)
     line = shown.groupBy("table", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", cell.alias("x")))), lambda x: x["x"]), " & ").alias("line"))
