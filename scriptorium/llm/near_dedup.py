@@ -53,7 +53,7 @@ ESTIMATE = 128
 LIST = 32
 #: Rows of a region that meet in one place in the second round, and shingles in the third; a larger
 #: region is dealt out.
-BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 16
 #: Others in the lists of one Arrow batch, about.
 HELD = 1 << 18
 U = np.uint64
