@@ -71,7 +71,8 @@ def reconstruct(paragraphs: DataFrame, library: DataFrame, remote: DataFrame, th
 
     entries: doc_id, pos, key, source and the record, raw text where nothing matches. numbered: doc_id,
     number, pos, key (of a number that repeats, the last counts). records: doc_id, key, number, source, score,
-    verify. A document without a reference list has none of them."""
+    verify. A document without a reference list has none of them. The entries are persisted, as all three
+    and their callers read them; whoever is done with them may unpersist."""
     listed = structure.reference_list(paragraphs)
     typed = listed.select(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("ref_id"), "doc_id", "pos", "number", "text")
     found = matching.reconcile(typed.select("ref_id", "text"), library, remote, threshold)
@@ -80,7 +81,7 @@ def reconstruct(paragraphs: DataFrame, library: DataFrame, remote: DataFrame, th
     known = side(library, "bibfile").unionByName(side(remote, "crossref"), allowMissingColumns=True)
     rows = typed.join(found, "ref_id").join(raw, "ref_id").join(known, ["source", "matched_pos"], "left")
     rows = rows.withColumn("title", F.coalesce("title", "_title")).withColumn("year", F.when(F.col("source") == "raw", F.col("_year")).otherwise(F.col("year"))).withColumn("family", F.when(F.col("source") == "raw", F.col("_family")).otherwise(F.col("family"))).drop("_title", "_family", "_year", "ref_id")
-    entries = keys.assign_keys(rows, "doc_id").drop("base", "group_size", "rank")
+    entries = keys.assign_keys(rows, "doc_id").drop("base", "group_size", "rank").persist()
     numbered = entries.where("number is not null").select("doc_id", "number", "pos", "key")
     records = entries.select("doc_id", "key", "number", "source", "score", "verify")
     return entries, numbered, records

@@ -34,17 +34,13 @@ def assign_keys(refs: DataFrame, *scope: str) -> DataFrame:
     """A base key that is alone stays; otherwise every record of it, the first too, gets a suffix in
     order of appearance. A suffixed key may equal another base key; that is kept.
 
-    Base keys are counted with partial aggregation; only records whose base key repeats are ranked, each
-    base key by itself.
+    Base keys are counted with partial aggregation and joined back; the ranks are a window by base key, dealt
+    out as the join is.
     """
-    keyed = with_base_key(refs)
-    by = [*scope, "base"]
-    sizes = keyed.groupBy(*by).agg(F.count("*").alias("group_size"))
-    sized = keyed.join(sizes, by)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1
-    alone = sized.where("group_size = 1").withColumn("rank", F.lit(0)).withColumn("key", F.col("base"))
-    several = sized.where("group_size > 1").withColumn("rank", rank)
-    return alone.unionByName(several.withColumn("key", F.concat("base", T.suffix(F.col("rank")))))
+    keyed, by = with_base_key(refs), [*scope, "base"]
+    sized = keyed.join(keyed.groupBy(*by).agg(F.count("*").alias("group_size")), by)
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("pos")) - 1)
+    return ranked.withColumn("key", F.when(F.col("group_size") == 1, F.col("base")).otherwise(F.concat("base", T.suffix(F.col("rank")))))
 
 
 def dedup_refs(refs: DataFrame, *order: str) -> DataFrame:
