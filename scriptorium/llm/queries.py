@@ -158,4 +158,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(6 + head + 2 + body + 8)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""".format(added_text=_escaped("text"), added_role=_escaped("role", ("'>'", "chr(10)"))),
+    "op8_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_AZ.format("coalesce(text, '')")}, '{_WORD}+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+least(len(ws), 3)-1], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+reach AS (SELECT doc_id AS id, doc_id AS far FROM d UNION SELECT id, b FROM reach JOIN links ON far = a),
+lowest AS (SELECT id, min(far) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM d JOIN lowest ON id = doc_id LEFT JOIN n USING (doc_id)""",
 }
