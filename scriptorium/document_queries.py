@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .operators import anchors, citations, figures, journals, metadata, preflight, report, tables
 from .plans.views import joined, sql, view
+from .queries import _SCORE
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -262,7 +263,9 @@ _LISTED = """SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orde
 
 
 @query(sql("library") + f""", listed AS ({_LISTED.format(lineitem='lineitem')}),
-t AS (SELECT doc_id, no, l.title AS own, l.year, l.family, part % 5 = 0 AS odd FROM listed JOIN library l ON part = l.pos),
+typed AS (SELECT pos AS ref_id, family || ', B. (' || year || '). ' || title || ' .' AS text FROM library WHERE pos % 5 > 0),
+{_SCORE.format(lib='library', n='')},
+t AS (SELECT doc_id, no, m.title AS own, m.year, m.family, part % 5 = 0 AS odd FROM listed LEFT JOIN best b ON part = b.ref_id LEFT JOIN library m ON m.pos = b.pos),
 k AS (SELECT *, CASE WHEN odd THEN 'zed1888zed' ELSE lower(regexp_replace(family, '[^A-Za-z0-9]', '', 'g')) || year || lower(string_split(own, ' ')[1]) END AS base FROM t),
 g AS (SELECT *, count(*) OVER (PARTITION BY doc_id, base) AS n, row_number() OVER (PARTITION BY doc_id, base ORDER BY no) - 1 AS r FROM k)
 SELECT doc_id, string_agg('\\cite{{' || base || CASE WHEN n = 1 THEN '' ELSE repeat('z', (r // 26)::INT) || chr((97 + r % 26)::INT) END || '}}', ' ' ORDER BY no) || ' {{[}}99{{]}}' || chr(10) AS text FROM g GROUP BY doc_id""")
