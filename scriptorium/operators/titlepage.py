@@ -15,6 +15,12 @@ NAME_SEPARATOR = r"(?i)\s*(?:,|;|\band\b|&)\s*"
 MARKER_TOKEN = r"[0-9A-Za-z]+|[^0-9A-Za-z\s,;]"
 
 
+def joined_by_document(left: DataFrame, right: DataFrame, by: str | list[str], how: str = "inner") -> DataFrame:
+    """Both sides have rows of every document, so none is broadcast, whatever the planner guesses: of
+    exploded rows it knows no number, and its guesses are too small."""
+    return left.join(right.hint("merge"), by, how)
+
+
 def titles(paragraphs: DataFrame) -> DataFrame:
     """doc_id, title, pos, guessed: the first paragraph in the title style, else the one in the largest
     font among the first five (the earliest of equals)."""
@@ -23,7 +29,7 @@ def titles(paragraphs: DataFrame) -> DataFrame:
     early = F.when(F.col("pos") < TITLE_PARAGRAPHS, F.struct(F.coalesce("font_size", F.lit(0)).alias("size"), (-F.col("pos")).alias("p")))
     best = rows.groupBy("doc_id").agg(F.min(styled).alias("styled"), F.max(early).alias("early"))
     at = best.select("doc_id", F.coalesce("styled", -F.col("early.p")).alias("pos"), F.col("styled").isNull().alias("guessed"))
-    return rows.join(at, ["doc_id", "pos"]).select("doc_id", F.trim("text").alias("title"), "pos", "guessed")
+    return joined_by_document(rows, at, ["doc_id", "pos"]).select("doc_id", F.trim("text").alias("title"), "pos", "guessed")
 
 
 def _author_parts(segments: Column) -> Column:
@@ -35,7 +41,8 @@ def _author_parts(segments: Column) -> Column:
 def authors(paragraphs: DataFrame, title: DataFrame) -> DataFrame:
     """The first non-empty paragraph after the title, as authors: doc_id, line (its position), no, name,
     markers, corresponding (a mark that is no letter or digit)."""
-    rows = paragraphs.where((F.col("pos") < FIRST_PARAGRAPHS) & (F.trim("text") != "")).join(title.select("doc_id", F.col("pos").alias("_t")), "doc_id").where("pos > _t")
+    rows = paragraphs.where((F.col("pos") < FIRST_PARAGRAPHS) & (F.trim("text") != ""))
+    rows = joined_by_document(rows, title.select("doc_id", F.col("pos").alias("_t")), "doc_id").where("pos > _t")
     line = rows.groupBy("doc_id").agg(F.min_by("segments", "pos").alias("segments"), F.min("pos").alias("line"))
     each = line.select("doc_id", "line", F.posexplode(_author_parts(F.col("segments"))).alias("_i", "part"))
     each = each.withColumn("name", F.regexp_replace(F.regexp_replace("part", "\1[^\2]*\2", ""), r"^[ ,;]+|[ ,;]+$", "")).where("name <> ''")
@@ -49,7 +56,8 @@ def affiliations(paragraphs: DataFrame, people: DataFrame) -> DataFrame:
     """doc_id, i (from 0), marker (its own leading superscript), text: the paragraphs after the author
     line up to the abstract or keywords, as many as the authors have markers (all if none)."""
     wanted = people.select("doc_id", "line", F.explode_outer("markers").alias("m")).groupBy("doc_id").agg(F.max("line").alias("line"), F.countDistinct("m").alias("n"))
-    rows = paragraphs.where((F.col("pos") < FIRST_PARAGRAPHS) & (F.trim("text") != "")).join(wanted, "doc_id").where("pos > line")
+    rows = paragraphs.where((F.col("pos") < FIRST_PARAGRAPHS) & (F.trim("text") != ""))
+    rows = joined_by_document(rows, wanted, "doc_id").where("pos > line")
     stop = F.rlike(F.trim("text"), F.lit(ABSTRACT_HEADING)) | F.rlike(F.trim("text"), F.lit(KEYWORDS))
     rows = rows.withColumn("_stop", F.min(F.when(stop, F.col("pos"))).over(Window.partitionBy("doc_id"))).where("_stop is null or pos < _stop")
     rows = rows.where(~(F.rlike("text", F.lit(T.EMAIL)) & F.rlike("text", F.lit("(?i)correspond"))))
@@ -68,8 +76,8 @@ def link(people: DataFrame, places: DataFrame) -> DataFrame:
     first = first.withColumn("numbers", F.min(F.rlike("marker", F.lit("^[0-9]+$"))).over(Window.partitionBy("doc_id")))
     labels = places.where("marker is not null").groupBy("doc_id", "marker").agg(F.max("i").alias("label"))
     count = places.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("marker").isNotNull()).alias("labelled"))
-    found = first.join(count, "doc_id").join(labels, ["doc_id", "marker"], "left")
+    found = joined_by_document(joined_by_document(first, count, "doc_id"), labels, ["doc_id", "marker"], "left")
     place = F.when(F.col("labelled"), F.col("label")).when(F.col("numbers"), F.col("marker").try_cast("int") - 1).otherwise(F.col("rank"))
     found = found.select("doc_id", "marker", place.alias("at"), "n").where("at >= 0 and at < n")
-    own = seen.join(found, ["doc_id", "marker"]).groupBy("doc_id", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "at"))), lambda x: x["at"].cast("int")).alias("affiliations"))
-    return people.join(own, ["doc_id", "no"], "left").withColumn("affiliations", F.coalesce("affiliations", F.array().cast("array<int>")))
+    own = joined_by_document(seen, found, ["doc_id", "marker"]).groupBy("doc_id", "no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "at"))), lambda x: x["at"].cast("int")).alias("affiliations"))
+    return joined_by_document(people, own, ["doc_id", "no"], "left").withColumn("affiliations", F.coalesce("affiliations", F.array().cast("array<int>")))

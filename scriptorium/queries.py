@@ -561,7 +561,7 @@ def q52_title_page(spark, sf_dir):
     titles = titlepage.titles(p)
     people = titlepage.authors(p, titles)
     linked = titlepage.link(people, titlepage.affiliations(p, people))
-    return linked.join(titles.select("doc_id", "title"), "doc_id").select("doc_id", "title", "name", "corresponding", joined(F.col("affiliations")).alias("affiliations"))
+    return titlepage.joined_by_document(linked, titles.select("doc_id", "title"), "doc_id").select("doc_id", "title", "name", "corresponding", joined(F.col("affiliations")).alias("affiliations"))
 
 
 @query(sql("library") + f",\n{_VALID} SELECT 'Checked ' || count(*) || ' reference(s): ' || count(*) FILTER (status = 'verified') || ' verified, ' || count(*) FILTER (status = 'mismatch') || ' field mismatch, ' || count(*) FILTER (status = 'dead_doi') || ' dead DOI, ' || count(*) FILTER (status = 'unverifiable') || ' unverifiable.' AS line FROM records")

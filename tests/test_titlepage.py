@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium import queries
 from scriptorium.functions import names as N
 from scriptorium.functions import text as T
 from scriptorium.operators import markers, render, titlepage
@@ -33,6 +34,12 @@ def test_title_page(spark):
     assert got == {(0, "Ann Lee"): ([1], True), (0, "Bo Poe"): ([0], False), (0, "Cy"): ([1, 0], False), (1, "Dee"): ([1], False), (1, "Eve"): ([0], False), (2, "Al"): ([0], False), (2, "Bea"): ([1], False)}
 
 
+def test_title_page_broadcasts_nothing(spark, sf):
+    """All its sides grow with the documents, and the planner guesses exploded rows far too small."""
+    plan = queries.q52_title_page(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_link_numeric(spark):
     numbered = spark.createDataFrame([(i, i, f"k{i}") for i in range(1, 5)], "number int, pos int, key string")
     texts = [(1, r"A\textsuperscript{1} \section{I} see {[}1{]}--{[}3{]}, {[}9{]} and {[}110{]}.\textsuperscript{2}--\textsuperscript{4}"), (2, "none"), (3, r"no section\textsuperscript{2, 2}{[}4{]}")]
