@@ -85,6 +85,13 @@ def test_merge(spark):
     assert got == [("k", "in_base"), ("kb", "added"), ("kc", "added"), ("kb", "repeated"), ("q", "added"), ("qa", "added")]
 
 
+def test_merge_beyond_600_suffixes(spark):
+    """The first free suffix, however many are taken."""
+    base = spark.createDataFrame([(f"i{i}", i, "k" + "z" * (i // 26) + chr(97 + i % 26)) for i in range(700)] + [("i", 700, "k")], "identity string, pos int, key string")
+    new = spark.createDataFrame([("n", 1, "k")], "identity string, pos int, key string")
+    assert keys.merge_refs(base, new).first()["final_key"] == "k" + "z" * 26 + "y"
+
+
 def test_markers(spark):
     numbered = spark.createDataFrame([(1, 1, "a"), (2, 2, "b"), (2, 3, "B"), (3, 4, "a")], "number int, pos int, key string")
     m = spark.createDataFrame([(1, "[1-3,9,1]"), (2, "[x]")], "id int, marker string")
