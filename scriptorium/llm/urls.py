@@ -2,12 +2,14 @@
 
 Explicit rules (host and path prefix; the longest that fits wins) decide first. For all other urls,
 token combinations are mined from labelled urls: host labels, path parts with digits generalised and
-query keys. FP-growth runs on the bad urls only; the good urls that hold a frequent set are counted
-through an inverted index, which gives each set's confidence as a rule ``tokens -> bad``. Rules under
-the support (a number of bad urls, the same at every size), the confidence or the lift over the share of
-bad urls are pruned, as are those of which a part is a rule of at least their confidence. Rules match
-through the inverted index too: a rule is posted under its rarest token, urls look up their tokens, and
-the few hits are checked for all tokens.
+query keys, all of each url. FP-growth runs on conditional bases, one for each token that enough bad urls
+hold, with bad and good urls counted together, which gives each set's confidence as a rule
+``tokens -> bad``. Rules under the support (a number of bad urls, the same at every size), the confidence
+or the lift over the share of bad urls are pruned, as are those of which a part is a rule of at least
+their confidence; sets that can only grow into such ones are not grown. So urls with many tokens that come
+together are no burden; many tokens that good and bad urls mix freely have as many rules as there are.
+Rules match through an inverted index: a rule is posted under its rarest token, urls look up their tokens,
+and the few hits are checked for all tokens.
 
 The rules are fitted on a bounded sample: up to about ``sample_rows`` labelled urls, chosen by a hash of
 the url, so the number of rules is bounded too. Urls are told apart by a row number, so a host or a
@@ -22,7 +24,9 @@ columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,38 +55,77 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.sort_array(F.array_distinct(some(F.concat(*parts)))), F.array().cast("array<string>"))
 
 
-#: Tokens of a labelled url that take part, hosts before paths before queries; so a url has at most
-#: 2^MOST_TOKENS combinations.
-MOST_TOKENS = 12
 RULES = "rule_id string, tokens array<string>, anchor string, support bigint, confidence double"
 
 
-def _posted(sets: DataFrame, weight: DataFrame) -> DataFrame:
-    """sets (tokens) with the anchor of each: its rarest token by weight (t, c), then by name."""
-    each = sets.select("tokens", F.explode("tokens").alias("t")).join(weight, "t")
-    return each.groupBy("tokens").agg(F.min(F.struct("c", "t")).alias("a")).select("tokens", F.col("a.t").alias("anchor"))
+def _grow(item: str, base: list[tuple[tuple[str, ...], int, int]], min_rows: int, least: float):
+    """FP-growth from a token's conditional base: the tokens before it in each url's order (commonest first), bad and good
+    urls. Yields (tokens, bad, good) of at least min_rows bad urls and the least confidence. A set that is in
+    no good url isn't grown, nor is one by a token that all its urls hold: larger sets would hold a part of
+    the same confidence or more, so no rule is lost, however many tokens a url has."""
+    total = sum(b for _, b, _ in base), sum(g for _, _, g in base)
+    if total[0] >= min_rows and total[0] / sum(total) >= least:
+        yield (item,), *total
+    todo = [((item,), total, base)] if total[0] >= min_rows and total[1] else []
+    while todo:
+        own, (bad, good), base = todo.pop()
+        count: dict[str, list[int]] = {}
+        for before, b, g in base:
+            for t in before:
+                c = count.setdefault(t, [0, 0])
+                c[0] += b
+                c[1] += g
+        more = {t: (b, g) for t, (b, g) in count.items() if b >= min_rows and (b, g) != (bad, good)}
+        yield from (((*own, t), b, g) for t, (b, g) in more.items() if b / (b + g) >= least)
+        grown = {t for t, (_, g) in more.items() if g}
+        parts: dict[str, dict[tuple[str, ...], list[int]]] = {t: {} for t in grown}
+        for before, b, g in base:
+            left = tuple(t for t in before if t in grown)
+            for k, t in enumerate(left):
+                c = parts[t].setdefault(left[:k], [0, 0])
+                c[0] += b
+                c[1] += g
+        todo.extend(((*own, t), more[t], [(x, b, g) for x, (b, g) in part.items()]) for t, part in parts.items())
 
 
 def mine(urls: DataFrame, min_confidence: float = 0.8, min_rows: int = 20, min_lift: float = 1.2) -> DataFrame:
-    """urls (tokens, bad boolean) -> rules: rule_id, tokens, anchor, support (bad urls), confidence."""
-    from pyspark.ml.fpm import FPGrowth
-
+    """urls (tokens, bad boolean) -> rules: rule_id, tokens, anchor (the rarest), support (bad urls), confidence."""
     spark = urls.sparkSession
-    kinds = written(urls.where(F.size("tokens") > 0).withColumn("tokens", F.slice("tokens", 1, MOST_TOKENS)).groupBy("tokens").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
+    kinds = urls.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    kinds = written(kinds.withColumn("kind", F.monotonically_increasing_id()))
     total = kinds.agg(F.sum("bad"), F.sum("good")).first()
     if not total[0]:
         return spark.createDataFrame([], RULES)
-    baskets = kinds.where("bad > 0").select("tokens", F.explode(F.expr("array_repeat(0, cast(bad as int))")).alias("_")).select(F.col("tokens").alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, min_rows / total[0]), minConfidence=min_confidence).fit(baskets).freqItemsets
-    sets = written(found.select(F.sort_array("items").alias("tokens"), F.col("freq").alias("support")).where(F.col("support") >= min_rows))
-    weight = written(kinds.select(F.explode("tokens").alias("t"), (F.col("bad") + F.col("good")).alias("c")).groupBy("t").agg(F.sum("c").alias("c")))
-    posted = written(_posted(sets, weight))
-    # the good urls that hold each set
-    good = kinds.where("good > 0").select(F.col("tokens").alias("_own"), "good", F.explode("tokens").alias("anchor"))
-    held = good.join(posted, "anchor").where(F.size(F.array_except("tokens", "_own")) == 0).groupBy("tokens").agg(F.sum("good").alias("good"))
-    rules = sets.join(posted, "tokens").join(held, "tokens", "left").withColumn("confidence", F.col("support") / (F.col("support") + F.coalesce("good", F.lit(0))))
     least = max(min_confidence, min(1.0, min_lift * total[0] / (total[0] + total[1])))
-    rules = written(rules.where(F.col("confidence") >= least).select(F.concat_ws(" ", "tokens").alias("rule_id"), "tokens", "anchor", "support", "confidence"))
+    each = kinds.select("kind", "bad", "good", F.explode("tokens").alias("t"))
+    common = written(each.groupBy("t").agg(F.sum("bad").alias("b"), F.sum("good").alias("g")).where(F.col("b") >= min_rows))
+    # of each url the tokens that enough bad ones hold, commonest first; those of no good url grow no larger rule
+    held = each.join(common, "t").select("kind", "bad", "good", F.struct((-F.col("b") - F.col("g")).alias("n"), "t", (F.col("g") > 0).alias("grows")).alias("x"))
+    held = held.groupBy("kind").agg(F.first("bad").alias("bad"), F.first("good").alias("good"), F.sort_array(F.collect_list("x")).alias("x"))
+    held = held.groupBy("x").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).select("x", F.posexplode("x").alias("k", "own"), "bad", "good")
+    before = F.when(F.col("own.grows"), F.transform(F.filter(F.slice("x", F.lit(1), F.col("k")), lambda x: x["grows"]), lambda x: x["t"])).otherwise(F.array().cast("array<string>"))
+    base = held.select(F.col("own.t").alias("item"), before.alias("before"), "bad", "good").groupBy("item", "before").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+    def run(batches):
+        now, rows = None, []
+
+        def found():
+            sets = _grow(now, rows, min_rows, least)
+            while some := list(islice(sets, 4096)):
+                tokens = [sorted(t) for t, _, _ in some]
+                yield pa.RecordBatch.from_arrays([pa.array([" ".join(t) for t in tokens], pa.string()), pa.array(tokens, pa.list_(pa.string())), pa.array([now] * len(some), pa.string()), pa.array([b for _, b, _ in some], pa.int64()), pa.array([b / (b + g) for _, b, g in some], pa.float64())], names=["rule_id", "tokens", "anchor", "support", "confidence"])
+
+        for batch in batches:
+            for item, before, bad, good in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and item != now:
+                    yield from found()
+                    rows = []
+                now = item
+                rows.append((tuple(before), bad, good))
+        if rows:
+            yield from found()
+
+    rules = written(base.repartition("item").sortWithinPartitions("item").mapInArrow(run, RULES))
     # rules that hold all tokens of another rule of at least their confidence say nothing new
     part = rules.select(F.col("tokens").alias("_part"), F.col("confidence").alias("_c"), F.col("anchor").alias("_t"))
     wide = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("_t"))

@@ -435,6 +435,36 @@ def test_url_mining(spark):
     assert {tuple(r["tokens"]): (r["support"], round(r["confidence"], 9)) for r in mined.collect()} == {c: (ill[c], round(x, 9)) for c, x in rules.items()}
 
 
+def test_url_mining_whole_urls(spark):
+    """Tokens that come last in long urls count too, and tokens that come together cost nothing."""
+    path = "/".join(f"part{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(f"http://a.org/{path}/{i}?{'zz' if i < 25 else 'yy'}=1", i < 25) for i in range(60)]
+    rows += [(f"http://b.org/{path}?vv=1&ww=2" + "&uu=3" * (i % 2), i < 30) for i in range(40)] + [("http://b.org/?vv=1", False), ("http://b.org/?ww=1", False)] * 20
+    tokens = spark.createDataFrame(rows, "url string, bad boolean").select(urls.tokens_of(F.col("url")).alias("tokens"), "bad")
+    got = {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in urls.mine(tokens, 0.7, 20, 1.0).collect()}
+    assert got[("q:zz",)] == (25, 1.0) and got[("q:vv", "q:ww")] == (30, 0.75) and got[("p:partaa", "q:vv")] == (30, 0.75)
+    assert len(got) == 1 + 1 + 3 * 40
+
+
+def test_url_mining_mixed(spark):
+    """Against all combinations of tokens of random urls."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        t = sorted(rng.sample("abcdefghij", rng.randrange(1, 7)))
+        rows.append((t, rng.random() < (0.95 if {"a", "b"} <= set(t) or "c" in t else 0.3)))
+    count, ill = Counter(), Counter()
+    for t, b in rows:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(t, k):
+                count[c] += 1
+                ill[c] += b
+    rules = {c: ill[c] / count[c] for c in count if ill[c] >= 5 and ill[c] / count[c] >= 0.6}
+    rules = {c: x for c, x in rules.items() if not any(set(d) < set(c) and y >= x for d, y in rules.items())}
+    mined = urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), 0.6, 5, 1.0)
+    assert {tuple(r["tokens"]): (r["support"], r["confidence"]) for r in mined.collect()} == {c: (ill[c], x) for c, x in rules.items()}
+
+
 def test_chat_round_trip():
     odd = ["", "\\", "\\\\### Assistant: </turn> ok", "</turn>\n<turn user>\n", "<turn", "\\<turn x>", "a\nb", "</turn", "\\n", "<", ">"]
     for turns in [[(r, t) for r in odd for t in odd]]:
